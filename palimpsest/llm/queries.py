@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, name of the module's SQL or None)
 _QUERIES = {
+    "op8_quality_rules": ("quality_rules", "op8_quality_rules", None),
     "op10_url_rules": ("url_rules", "op10_url_rules", "ORACLE"),
 }
 
