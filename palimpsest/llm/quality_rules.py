@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import materialize
+
 WS = " \t\n\x0b\f\r"
 WS_RUN = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -31,6 +33,7 @@ MIN_WORDS_COMMON = 50
 #: A distance fails above floor + noise / sqrt(words): a short document's histogram strays that far by chance.
 CHAR_FLOOR, CHAR_NOISE = 0.22, 0.6
 WORD_FLOOR, WORD_NOISE = 0.19, 0.95
+BROADCAST_LANGS = 1000
 #: A language with fewer words than this has no reference; its documents are judged by the base rules alone.
 MIN_REFERENCE_WORDS = 2000
 
@@ -146,7 +149,10 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
     base = docs.drop(*[c for c in added if c not in (text, lang)])
     hist = histograms(base, text, lang)
-    refs = references(hist, lang)
+    # one row a language; sent to the executors only if they are few, else joined by shuffle
+    refs = materialize(references(hist, lang), "references")
+    if refs.count() <= BROADCAST_LANGS:
+        refs = F.broadcast(refs)
     df = hist.join(refs, F.col(lang) == F.col("_lang"), "left").drop("_lang")
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
     df = df.withColumns(
