@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> (module, function, name of the module's SQL or None)
 _QUERIES = {
+    "op1_token_store": ("token_store", "op1_token_store", None),
+    "op3_packing": ("packing", "op3_packing", None),
     "op8_quality_rules": ("quality_rules", "op8_quality_rules", None),
     "op10_url_rules": ("url_rules", "op10_url_rules", "ORACLE"),
 }
