@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, name of the module's SQL or None)
 _QUERIES = {
+    "op5_decontamination": ("decontamination", "op5_decontamination", "ORACLE"),
     "op6_warc": ("warc", "op6_warc", None),
     "op1_token_store": ("token_store", "op1_token_store", None),
     "op3_packing": ("packing", "op3_packing", None),
