@@ -1,7 +1,7 @@
 """Quality rules: how far a document's character classes and common words lie from its language's.
 
 Per document two histograms are made: characters by class, and words by a short list of common
-words of its language.  The reference of a language is the sum of the histograms of all its
+words of its language.  The reference of a language is the mean of the histograms of its
 documents.  The distance is Jensen-Shannon's (square root of the divergence, base 2).  All of it is
 DataFrame code; no Python runs on the executors.
 """
@@ -34,8 +34,8 @@ MIN_WORDS_COMMON = 50
 CHAR_FLOOR, CHAR_NOISE = 0.22, 0.6
 WORD_FLOOR, WORD_NOISE = 0.19, 0.95
 BROADCAST_LANGS = 1000
-#: A language with fewer words than this has no reference; its documents are judged by the base rules alone.
-MIN_REFERENCE_WORDS = 2000
+#: A language with fewer documents than this has no reference; its documents are judged by the base rules alone.
+MIN_REFERENCE_DOCS = 20
 
 
 def _removed(c: Column, part: str) -> Column:
@@ -53,6 +53,7 @@ def _total(parts: list[Column]) -> Column:
 def histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Add _trimmed, _words, n_words and the two histograms _chars and _common (arrays of long)."""
     body = F.coalesce(F.col(text), F.lit(""))
+    listed = sorted({w for words in COMMON_WORDS.values() for w in words})
     df = docs.withColumns({"_text": body, "_trimmed": F.btrim(body, F.lit(WS)), "_left": F.regexp_replace(body, "[a-z]+", "")})
     df = df.withColumns(
         {
@@ -68,7 +69,8 @@ def histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
             "_n_upper": F.col("_n_left") - F.length("_no_upper"),
             "_n_rest": F.length("_no_upper"),
             "_no_space": F.regexp_replace("_no_upper", WS_RUN, ""),
-            "_padded": F.concat(F.lit(" "), F.lower(F.array_join("_words", "  ")), F.lit(" ")),
+            # the listed words of any language, two blanks apart: none can overlap the next
+            "_padded": F.concat(F.lit(" "), F.array_join(F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(listed)), "  "), F.lit(" ")),
         }
     )
     df = df.withColumns(
@@ -82,7 +84,6 @@ def histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     )
     other = F.col("_n_dense") - F.col("_n_digit") - F.col("_n_punct") - F.col("_n_symbol")
     chars = F.array(*[F.col(f"_n_{c}").cast("long") for c in CLASSES[:-1]], other.cast("long"))
-    # a padded word can't overlap the next one: words are two blanks apart
     lists = F.create_map(*[x for k, words in COMMON_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(f" {w} ") for w in words]))])
     padded = F.col("_padded")
     common = F.transform(F.element_at(lists, F.col(lang)), lambda w: ((F.length(padded) - F.length(F.replace(padded, w, F.lit("")))) / F.length(w)).cast("long"))
@@ -91,15 +92,18 @@ def histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
 
 
 def references(hist: DataFrame, lang: str = "lang") -> DataFrame:
-    """One row per language: the shares of character classes and of common words over all its documents."""
+    """One row per language: the mean shares of character classes and of common words.
+
+    Each document of MIN_WORDS_COMMON words or more counts once, so that no long document decides.
+    """
     n, m = len(CLASSES), N_COMMON
-    sums = hist.groupBy(F.col(lang).alias("_lang")).agg(
-        *[F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(n)], *[F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(m)], F.sum("n_words").alias("total")
+    shares = hist.where(F.col("n_words") >= MIN_WORDS_COMMON).select(
+        F.col(lang).alias("_lang"), _shares(F.col("_chars")).alias("c"), F.transform("_common", lambda x: x / F.col("n_words")).alias("w")
     )
-    sums = sums.where(F.col("total") >= MIN_REFERENCE_WORDS)
-    chars = _shares(F.array(*[F.col(f"c{i}") for i in range(n)]))
-    words = F.when(F.col("w0").isNotNull(), F.array(*[F.col(f"w{i}") / F.col("total") for i in range(m)]))
-    return sums.select("_lang", chars.alias("_ref_chars"), words.alias("_ref_common"))
+    means = shares.groupBy("_lang").agg(*[F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n)], *[F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(m)], F.count(F.lit(1)).alias("docs"))
+    means = means.where(F.col("docs") >= MIN_REFERENCE_DOCS)
+    words = F.when(F.col("w0").isNotNull(), F.array(*[F.col(f"w{i}") for i in range(m)]))
+    return means.select("_lang", F.array(*[F.col(f"c{i}") for i in range(n)]).alias("_ref_chars"), words.alias("_ref_common"))
 
 
 def _shares(counts: Column) -> Column:
@@ -121,11 +125,15 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def repeated_words(words: str, n_words: str, df: DataFrame, out: str, width: int = 8) -> DataFrame:
-    """Add ``out``: words that lie in windows of ``width`` words found twice or more in the row's own array."""
+    """Add ``out``: words that lie in windows of ``width`` (a power of two) words found twice or more in the row's own array."""
     n = F.col(n_words).cast("int")
-    col = F.col(words)
-    hashes = F.when(n > width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(col, i, width))))
-    df = df.withColumn("_h", hashes)
+    # hashes of one word, then by doubling of 2, 4 and 8 words from each place on
+    df = df.withColumn("_h", F.when(n > width, F.transform(words, lambda w: F.xxhash64(w))))
+    span = 1
+    while span < width:
+        df = df.withColumn("_h", F.zip_with("_h", F.slice("_h", F.lit(span + 1), n), lambda a, b: F.xxhash64(a, b)))
+        span *= 2
+    df = df.withColumn("_h", F.slice("_h", F.lit(1), F.greatest(n - (width - 1), F.lit(0))))
     twice = F.size(F.array_distinct("_h")) < F.size("_h")
     df = df.withColumn("_p", F.when(twice, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     df = df.withColumn("_same", F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
@@ -137,23 +145,9 @@ def repeated_words(words: str, n_words: str, df: DataFrame, out: str, width: int
     return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_h", "_p", "_same", "_s")
 
 
-def assess(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All rows and columns of ``docs`` with the base features, both distances, base_failed and kept.
-
-    Null text counts as empty: no words, base_failed.  Rows whose language is null or has too
-    little text for a reference, and documents below the length guards, skip the distance checks;
-    languages without a list of common words skip the word distance.  Repeated rows are judged each
-    and alike.  An empty table gives an empty result.  Columns of the input named like the
-    output's are replaced.
-    """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-    base = docs.drop(*[c for c in added if c not in (text, lang)])
-    hist = histograms(base, text, lang)
-    # one row a language; sent to the executors only if they are few, else joined by shuffle
-    refs = materialize(references(hist, lang), "references")
-    if refs.count() <= BROADCAST_LANGS:
-        refs = F.broadcast(refs)
-    df = hist.join(refs, F.col(lang) == F.col("_lang"), "left").drop("_lang")
+def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """All rows and columns of ``docs`` with the base features and both histograms."""
+    df = histograms(docs, text, lang)
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
     df = df.withColumns(
         {
@@ -164,20 +158,44 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     )
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     df = repeated_words("_words", "n_words", df, "n_repeat_words")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return df.withColumn("base_failed", failed).drop("_text", "_trimmed", "_words", "_lines")
+
+
+def judge(found: DataFrame, lang: str = "lang") -> DataFrame:
+    """Add both distances and ``kept`` to rows with features."""
+    # one row a language; sent to the executors only if they are few, else joined by shuffle
+    refs = materialize(references(found, lang), "references")
+    if refs.count() <= BROADCAST_LANGS:
+        refs = F.broadcast(refs)
+    df = found.join(refs, F.col(lang) == F.col("_lang"), "left").drop("_lang")
     own = F.transform("_common", lambda x: x / F.col("n_words"))
     df = df.withColumns(
         {
-            "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
             "char_distance": F.when(F.col("n_words") >= MIN_WORDS_CHARS, js_distance(_shares(F.col("_chars")), F.col("_ref_chars"))),
             "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMMON, js_distance(_with_rest(own), _with_rest(F.col("_ref_common")))),
         }
     )
     within = lambda c, floor, noise: F.coalesce(F.col(c) <= floor + noise / F.sqrt("n_words"), F.lit(True))
     near = within("char_distance", CHAR_FLOOR, CHAR_NOISE) & within("word_distance", WORD_FLOOR, WORD_NOISE)
-    return df.withColumn("kept", ~F.col("base_failed") & near).drop("_text", "_trimmed", "_words", "_chars", "_common", "_ref_chars", "_ref_common", "_lines")
+    return df.withColumn("kept", ~F.col("base_failed") & near).drop("_chars", "_common", "_ref_chars", "_ref_common")
+
+
+def assess(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
+    """All rows and columns of ``docs`` with the base features, both distances, base_failed and kept.
+
+    Null text counts as empty: no words, base_failed.  Rows whose language is null or has too
+    little text for a reference, and documents below the length guards, skip the distance checks;
+    languages without a list of common words skip the word distance.  Repeated rows are judged each
+    and alike.  An empty table gives an empty result.  Columns of the input named like the
+    output's are replaced.  Features are computed once and written; ``keep_text`` keeps the text.
+    """
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+    found = features(docs.drop(*[c for c in added if c not in (text, lang)]), text, lang)
+    return judge(materialize(found if keep_text else found.drop(text), "features"), lang)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base features and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return assess(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
