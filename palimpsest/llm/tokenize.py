@@ -2,22 +2,56 @@
 
 A text is cut at single blanks that stand between two characters that aren't white space; neither
 pre-tokeniser used here joins anything across such a blank, so the units are encoded apart and
-their ids concatenated.  A text with other white space next to a blank is encoded whole.
+their ids concatenated.  A text with other white space next to a blank is encoded whole.  Most units
+are letters with some punctuation behind; pre-tokenisers part the two, so they are looked up apart too
+and new ones go straight to the library's BPE model.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+from array import array
 
 import numpy as np
 
-_ODD_BLANK = re.compile(r"^ | $|\s | \s")
-#: Units remembered by a Python process, about 150 bytes each.
-_BOUND = 1_000_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
+
+#: Latin letters, then ASCII punctuation without the apostrophe, which contractions need.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+#: Entries of a table of a Python process, about 150 bytes each; each table keeps its last two generations.
+_BOUND = 300_000
+
+
+class _Remembered(dict):
+    """Values by key, made when first asked for; frequent keys survive the change of generations."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= _BOUND:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE shows each byte: printable ones as they are, others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """One tokenizer file.  ``ids(texts)`` returns an array per text; null is empty."""
+    """One tokenizer file.  ``encode(texts)`` returns the ids of each text; null is empty."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -25,23 +59,59 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.units: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(units, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            normalizer = json.load(f)["normalizer"]
+        self.drops_space = normalizer is not None  # the lower-casing kind, which drops white space
+        self.letters = _byte_letters()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.units = _Remembered(self._unit)  # words with the blank before them
+        self.parts = _Remembered(self._part)  # pre-tokens
+        self.newline = self._encode(["\n"])[0]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _part(self, s: str) -> bytes:
+        raw = s.strip().lower() if self.drops_space else s
+        shown = "\u0120" + raw[1:] if raw.isascii() and raw[0] == " " else raw if raw.isascii() else raw.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
+
+    def _plain(self, u: str, blank: str) -> bytes | None:
+        """Ids of a unit by its parts, or None if it isn't plain."""
+        m = _PLAIN.fullmatch(u)
+        if m:
+            stem, tail = m.groups()
+            return self.parts[blank + stem] + self.parts[tail] if tail else self.parts[blank + stem]
+        if _LINES.fullmatch(u):  # a line's end between words is a token of its own, or dropped
+            found = [self._plain(x, "" if i else blank) for i, x in enumerate(u.split("\n"))]
+            return self.newline.join(found) if None not in found else None
+        return None
+
+    def _unit(self, u: str) -> bytes | None:
+        """Ids of a blank and a word; None where they depend on what stands around."""
+        if not u or u[0].isspace() or u[-1].isspace():
+            return None
+        ids = self._plain(u, " ")
+        return self._encode([" " + u])[0] if ids is None else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
-        cut = [None if not t or _ODD_BLANK.search(t) else t.split(" ") for t in texts]
-        units = self.units  # of words with the blank before them
-        if len(units) > _BOUND:
-            units.clear()
-        new = [u for u in set().union(*[c[1:] for c in cut if c]) if u not in units]
-        for i in range(0, len(new), 20_000):
-            units.update(zip(new[i : i + 20_000], self._encode([" " + u for u in new[i : i + 20_000]]), strict=True))
-        heads = self._encode([c[0] if c else t or "" for t, c in zip(texts, cut, strict=True)])  # the first word, or a whole text
-        get = units.__getitem__
-        return [head + b"".join(map(get, c[1:])) if c else head for head, c in zip(heads, cut, strict=True)]
+        out: list[bytes | None] = []
+        get = self.units.__getitem__
+        for t in texts:
+            first, *rest = (t or "").split(" ")
+            if not rest or not first or first[-1].isspace():
+                out.append(None if t else b"")
+                continue
+            head = self._plain(first, "")
+            try:
+                out.append((self._encode([first])[0] if head is None else head) + b"".join(map(get, rest)))
+            except TypeError:  # white space beside a blank: the text is encoded whole
+                out.append(None)
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 _LOADED: dict[str, Encoder] = {}
