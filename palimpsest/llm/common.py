@@ -152,3 +152,11 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds, F.lit(False))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, before the next step writes its own."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, name of the module's SQL or None)
 _QUERIES = {
+    "op7_line_dedup": ("line_dedup", "op7_line_dedup", None),
     "op9_near_dedup": ("near_dedup", "op9_near_dedup", "ORACLE"),
     "op5_decontamination": ("decontamination", "op5_decontamination", "ORACLE"),
     "op6_warc": ("warc", "op6_warc", None),
