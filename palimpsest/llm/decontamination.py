@@ -13,6 +13,7 @@ block against all documents, so nothing that is sent grows with either table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil, comb
@@ -120,7 +121,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     found = []
     for block in _blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast((block, threshold))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block, threshold))
         found.append(rows.mapInArrow(_search(shared), "doc_id long, item_id long, n_item int, n_shared int"))
     if not found:
         out = spark.createDataFrame([], "doc_id long, item_id long, n_item int, n_shared int")
@@ -129,14 +130,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 
 
 def _matcher(shared) -> Matcher:
-    if id(shared.value) not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[id(shared.value)] = Matcher(*shared.value)
-    return _MATCHERS[id(shared.value)]
+    """The block's matcher, built once in each Python process."""
+    name, block, threshold = shared.value
+    if name not in _MATCHERS:
+        if len(_MATCHERS) > 3:
+            _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(block, threshold)
+    return _MATCHERS[name]
 
 
 def _search(shared):
@@ -157,15 +161,18 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     """``docs`` without the rows whose text contains an item; all columns and other rows stay as they are."""
     spark = docs.sparkSession
     for block in _blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast((block, threshold))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block, threshold))
+        docs = docs.where(~_leaks(shared)(F.coalesce(F.col(text), F.lit(""))))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            m = _matcher(shared)
-            return pd.Series([bool(m.find(t)) for t in texts], dtype=bool)
 
-        docs = docs.where(~leaks(F.coalesce(F.col(text), F.lit(""))))
-    return docs
+def _leaks(shared):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        m = _matcher(shared)
+        return pd.Series([bool(m.find(t)) for t in texts], dtype=bool)
+
+    return leaks
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

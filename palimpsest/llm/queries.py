@@ -22,7 +22,9 @@ def _load(module: str):
 
 
 def queries() -> dict:
-    return {name: getattr(_load(m), f) for name, (m, f, _) in _QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: getattr(_load(m), f) for name, (m, f, _) in _QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
