@@ -1,10 +1,8 @@
-"""Encoding whole texts with the `tokenizers` library, remembering the ids of units that recur.
+"""Encoding whole texts with the `tokenizers` library, remembering the ids of pre-tokens that recur.
 
-A text is cut at single blanks that stand between two characters that aren't white space; neither
-pre-tokeniser used here joins anything across such a blank, so the units are encoded apart and
-their ids concatenated.  A text with other white space next to a blank is encoded whole.  Most units
-are letters with some punctuation behind; pre-tokenisers part the two, so they are looked up apart too
-and new ones go straight to the library's BPE model.
+A text of Latin letters, digits, ASCII punctuation and single blanks or line ends is cut into its
+pre-tokens here, by the tokenizer's own pattern over that alphabet, and each distinct pre-token goes to
+the library's BPE model once.  Any other text is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -18,11 +16,15 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
-#: Latin letters, then ASCII punctuation without the apostrophe, which contractions need.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
-_LINES = re.compile(r"\S+(?:\n\S+)+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ\u0100-\u012f\u0131-\u017f"
+_PUNCT = r"!-/:-@\[-`{-~"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The byte-level pattern: a blank goes with what follows; a lone line end stands alone.  Other white space finds no match.
+_BYTE_LEVEL = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[{_PUNCT}]+|\n(?=\S)")
+#: The lower-casing pattern: white space is dropped, digits stand alone.
+_WORD_LEVEL = re.compile(rf"{_SHORT}|[{_LETTER}]+|[0-9]|[{_PUNCT}]+|[ \n\t\r]+")
 #: Entries of a table of a Python process, about 150 bytes each; each table keeps its last two generations.
-_BOUND = 300_000
+_BOUND = 500_000
 
 
 class _Remembered(dict):
@@ -64,50 +66,26 @@ class Encoder:
         self.drops_space = normalizer is not None  # the lower-casing kind, which drops white space
         self.letters = _byte_letters()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.units = _Remembered(self._unit)  # words with the blank before them
-        self.parts = _Remembered(self._part)  # pre-tokens
-        self.newline = self._encode(["\n"])[0]
+        self.parts = _Remembered(self._part)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _part(self, s: str) -> bytes:
-        raw = s.strip().lower() if self.drops_space else s
-        shown = "\u0120" + raw[1:] if raw.isascii() and raw[0] == " " else raw if raw.isascii() else raw.encode().decode("latin-1").translate(self.letters)
+        """Ids of one pre-token."""
+        if self.drops_space and s.isspace():
+            return b""
+        shown = s.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
 
-    def _plain(self, u: str, blank: str) -> bytes | None:
-        """Ids of a unit by its parts, or None if it isn't plain."""
-        m = _PLAIN.fullmatch(u)
-        if m:
-            stem, tail = m.groups()
-            return self.parts[blank + stem] + self.parts[tail] if tail else self.parts[blank + stem]
-        if _LINES.fullmatch(u):  # a line's end between words is a token of its own, or dropped
-            found = [self._plain(x, "" if i else blank) for i, x in enumerate(u.split("\n"))]
-            return self.newline.join(found) if None not in found else None
-        return None
-
-    def _unit(self, u: str) -> bytes | None:
-        """Ids of a blank and a word; None where they depend on what stands around."""
-        if not u or u[0].isspace() or u[-1].isspace():
-            return None
-        ids = self._plain(u, " ")
-        return self._encode([" " + u])[0] if ids is None else ids
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
         out: list[bytes | None] = []
-        get = self.units.__getitem__
+        get, cut = self.parts.__getitem__, (_WORD_LEVEL if self.drops_space else _BYTE_LEVEL).findall
         for t in texts:
-            first, *rest = (t or "").split(" ")
-            if not rest or not first or first[-1].isspace():
-                out.append(None if t else b"")
-                continue
-            head = self._plain(first, "")
-            try:
-                out.append((self._encode([first])[0] if head is None else head) + b"".join(map(get, rest)))
-            except TypeError:  # white space beside a blank: the text is encoded whole
-                out.append(None)
+            given = (t or "").lower() if self.drops_space else t or ""
+            found = cut(given)
+            out.append(b"".join(map(get, found)) if sum(map(len, found)) == len(given) else None)
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
