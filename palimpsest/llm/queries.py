@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, name of the module's SQL or None)
 _QUERIES = {
+    "op2_suffix_dedup": ("repeats", "op2_suffix_dedup", None),
     "op4_katz": ("katz", "op4_katz", None),
     "op7_line_dedup": ("line_dedup", "op7_line_dedup", None),
     "op9_near_dedup": ("near_dedup", "op9_near_dedup", "ORACLE"),
