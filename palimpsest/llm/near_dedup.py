@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize, shingle_hashes, word_hashes
+from palimpsest.llm.common import connected_components, materialize, release, shingle_hashes, word_hashes
 
 TREES, DEPTHS = 20, (3, 5, 7)
 DEPTH = DEPTHS[-1]
@@ -140,10 +140,15 @@ def candidates(reps: DataFrame) -> DataFrame:
     return pairs.union(met).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _candidate_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Full sets of the documents in ``pairs``; the texts move once, whatever the size of the pairs."""
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc long, grams binary"), "sets")
+    found = texts.join(wanted.hint("merge"), "doc", "left_semi")
+    return materialize(found.mapInArrow(_sets(width), "doc long, grams binary"), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.toDF("a", "ga"), sets.toDF("b", "gb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -157,6 +162,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     marks the document with that id.  Rows that share an id are one document for linking; a null
     id is linked with nothing and kept.  An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     sig = materialize(texts.mapInArrow(_signatures(width), "doc long, n long, digest binary, sig binary, b1 long, b2 long"), "signatures")
     linked = sig.where("digest is not null and doc is not null")
@@ -165,17 +171,19 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     firsts = linked.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("d")), "doc", "left_semi").dropDuplicates(["digest"])
     firsts = firsts.join(reps, "digest").select(F.col("rep").alias("doc"), "sig", "b1", "b2")
     pairs = materialize(candidates(firsts), "pairs")
-    texts = texts.where("doc is not null")
+    release(spark)
+    sets = _candidate_sets(pairs, texts.where("doc is not null"), width)
+    release(spark)
     # each document's likeliest partner first: most links within a family follow from these
     both = pairs.select("a", "b", "differ").union(pairs.select(F.col("b"), F.col("a"), F.col("differ")))
     best = both.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
     best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    edges = materialize(_links(best, texts, width, percent), "links")
+    edges = materialize(_links(best, sets, percent), "links")
     found = connected_components(edges)
     a, b = found.toDF("a", "ca"), found.toDF("b", "cb")
     rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
     rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    edges = edges.union(_links(rest, texts, width, percent))
+    edges = edges.union(_links(rest, sets, percent))
     edges = edges.union(same.where("doc <> rep").select(F.col("rep"), F.col("doc")))
     found = connected_components(edges)
     out = sig.select("doc", "n").join(found.toDF("doc", "component"), "doc", "left")
