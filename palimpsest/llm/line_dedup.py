@@ -1,6 +1,6 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are lower-cased and runs of anything but letters and digits become one blank.  A line's
+Lines are lower-cased and lose their ASCII punctuation.  A line's
 64-bit SimHash is the majority vote of its words' hashes.  Two lines whose hashes differ in at most
 three bits agree on two of five 13-bit blocks at least, so lines meet under the ten pairs of blocks.
 Under each key the lines stand in the order of their hashes; each is compared with the NEAR lines
@@ -25,18 +25,26 @@ from palimpsest.llm.common import connected_components, materialize, release
 MIN_WORDS = 5
 MAX_BITS = 3
 BLOCKS, BLOCK_BITS = 5, 13
-NEAR = 16
+NEAR = 8
 #: Links need an edit distance of at most this share of the longer line.
 MAX_EDIT = 0.2
 
 
+#: Characters that normalising takes out.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def normalized(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    """Lower-cased, without ASCII punctuation, blanks and tabs at the ends or a second blank in a row."""
+    bare = F.translate(F.lower(line), PUNCTUATION + "\t\r", "")
+    return F.trim(F.replace(F.replace(bare, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" ")))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, line_no (from 0) and the normalised line of every line with a letter or digit."""
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    """doc, line_no (from 0) and the normalised line of every line with more than punctuation."""
+    lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
+    # dealt by document once: whatever is summed up by document and line stays where it is
+    lines = lines.repartition("doc").select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc", "line_no", normalized(F.col("line")).alias("norm")).where("norm <> ''")
 
 
@@ -64,15 +72,37 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     me = F.struct("h", "simhash")
     others = F.array(F.first(me).over(order), *[F.lag(me, k).over(order) for k in range(1, NEAR + 1)])
     met = rows.select("h", "simhash", others.alias("others"))
-    met = met.select("h", F.explode(F.filter("others", lambda o: o.isNotNull() & (o["h"] != F.col("h")) & (F.bit_count(o["simhash"].bitwiseXOR(F.col("simhash"))) <= MAX_BITS))).alias("o"))
-    return met.select(F.least("h", "o.h").alias("a"), F.greatest("h", "o.h").alias("b")).distinct()
+    met = met.select("h", "simhash", F.explode(F.filter("others", lambda o: o.isNotNull() & (o["h"] != F.col("h")) & (F.bit_count(o["simhash"].bitwiseXOR(F.col("simhash"))) <= MAX_BITS))).alias("o"))
+    return met.select(F.least("h", "o.h").alias("a"), F.greatest("h", "o.h").alias("b"), F.bit_count(F.col("simhash").bitwiseXOR(F.col("o.simhash"))).alias("bits")).distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``texts(h, norm)`` whose edit distance is at most MAX_EDIT of the longer line.
+
+    What both lines begin and end with is cut off before, by halving steps: the distance stays the
+    same, and near copies have little left to compare.
+    """
+    both = pairs.join(texts.toDF("a", "na"), "a").join(texts.toDF("b", "nb"), "b")
+    la, lb = F.length("na"), F.length("nb")
+    both = both.withColumn("allowed", F.floor(F.greatest(la, lb) * MAX_EDIT)).where(F.abs(la - lb) <= F.col("allowed"))
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    for _ in ("front", "back"):
+        room, na, nb = F.least(F.length("na"), F.length("nb")), F.col("na"), F.col("nb")
+        same = lambda p, n: (p + n <= F.col("room")) & (F.substring(na, p + 1, n) == F.substring(nb, p + 1, n))  # noqa: B023, E731
+        both = both.withColumn("room", room)
+        p = F.aggregate(steps, F.lit(0), lambda p, n: F.when(same(p, n), p + n).otherwise(p))
+        cut = lambda c: F.reverse(F.substring(c, F.col("p") + 1, F.length(c)))
+        both = both.withColumn("p", p).select("a", "b", "allowed", F.struct(cut("na").alias("na"), cut("nb").alias("nb")).alias("cut"))
+        # a generator keeps the optimizer from writing the cut into every later use of it
+        both = both.select("a", "b", "allowed", F.inline(F.array("cut")))
+    return both.where(F.levenshtein("na", "nb") <= F.col("allowed")).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines that go: (doc, drop), ``drop`` the array of their numbers.
 
     The earliest line, by document id (null first) and line number, of each connected group stays;
-    lines without a letter or digit belong to no group.
+    lines of nothing but punctuation belong to no group.
     """
     spark = docs.sparkSession
     first_of = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "line_no")
@@ -88,10 +118,16 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", normalized(F.get("lines", F.col("w.line_no"))).alias("norm")).where(F.xxhash64("norm") == F.col("h"))
     texts = materialize(some.dropDuplicates(["h"]), "line-texts")
     release(spark)
-    allowed = F.floor(F.greatest(F.length("na"), F.length("nb")) * MAX_EDIT)
-    both = pairs.join(texts.toDF("a", "na"), "a").join(texts.toDF("b", "nb"), "b")
-    both = both.where(F.abs(F.length("na") - F.length("nb")) <= allowed).where(F.levenshtein("na", "nb") <= allowed)
-    groups = connected_components(both.select("a", "b")).toDF("h", "component")
+    # each line with its likeliest partner first; then only pairs that still lie between two groups
+    both = pairs.union(pairs.select("b", "a", "bits"))
+    best = both.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialize(similar(best, texts), "line-links")
+    found = connected_components(links)
+    rest = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.union(similar(rest, texts))
+    groups = connected_components(links).toDF("h", "component")
     firsts = distinct.join(groups, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "at", "times")
     keep = firsts.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("lines")).where("lines > 1")
     repeated = materialize(firsts.join(keep, "component").select("h", F.col("keep.doc").alias("kd"), F.col("keep.line_no").alias("kl")), "repeated-lines")

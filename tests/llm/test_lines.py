@@ -38,7 +38,7 @@ def edit(a, b):
 
 
 def expected(rows, sims):
-    norm = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
+    norm = lambda s: re.sub(r"[!-/:-@\[-`{-~\t\r]", "", s.lower()).replace("  ", " ").replace("  ", " ").strip(" ")
     at = {}
     for doc, text, *_ in rows:
         for k, line in enumerate((text or "").split("\n") if text is not None else []):
