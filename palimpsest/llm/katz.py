@@ -36,9 +36,9 @@ from palimpsest.llm.tokenize import slices
 
 K = 5
 RESERVE = 0.05
-SLICE_CHARS, SLICE_DOCS = 6_000_000, 30_000
+SLICE_CHARS, SLICE_DOCS = 3_000_000, 30_000
 #: Postings of a bucket; a bucket is sorted in one task's memory.
-BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 16
+BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 16
 SAMPLE_DOCS, SPLIT = 2000, 256
 START, END = np.uint64(0x5354415254000000), np.uint64(0x454E440000000000)
 ROW_SCHEMA = "kind string, key long, block long, data binary, f array<long>"
@@ -376,8 +376,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the words that make up over 1/SPLIT of a sample of SAMPLE_DOCS documents; only where rows go depends on them."""
-    sample = docs.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(7))).limit(SAMPLE_DOCS).select("text")
+    """Hashes of the words that make up over 1/SPLIT of a sample of about SAMPLE_DOCS documents; only where rows go depends on them."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0).select("text")
     counts = sample.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "sample-words")
     total = counts.agg(F.sum("n")).first()[0] or 0

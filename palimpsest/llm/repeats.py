@@ -435,9 +435,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     need = found.where("kind = 'need'").groupBy("rid").agg(F.collect_list(F.struct("begin", "end", "anchor")).alias("need"))
     records = materialize(docs.join(need, "rid").dropDuplicates(["rid"]).select("rid", "text", "need").mapInArrow(_records, _RECORD), "suffixes")
     release(spark)
-    size = records.agg(F.sum(F.octet_length("suffix") + F.octet_length("left"))).first()[0] or 0
-    ranges = -(-size // RANGE_BYTES)
-    sample = records.select(F.rpad(F.hex("suffix"), 2 * LENGTH, "0").alias("s")).orderBy(F.xxhash64("s", F.rand(5))).limit(32 * ranges).select("s").collect() if ranges > 1 else []
+    size, number = records.agg(F.sum(F.octet_length("suffix") + F.octet_length("left")), F.count(F.lit(1))).first()
+    ranges = -(-(size or 0) // RANGE_BYTES)
+    # sampled splitters: about 16 suffixes a range
+    every = max(1, number // (16 * max(1, ranges)))
+    picked = records.where(F.pmod(F.xxhash64("rid", "anchor"), F.lit(every)) == 0).select(F.rpad(F.hex("suffix"), 2 * LENGTH, "0").alias("s"))
+    sample = picked.collect() if ranges > 1 else []
     sample = sorted(bytes.fromhex(r["s"]) for r in sample)
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     dealt = records.mapInArrow(_deal(splitters), _RECORD + ", range int")
