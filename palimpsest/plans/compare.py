@@ -12,6 +12,7 @@ from palimpsest.operators.align import align
 from palimpsest.operators.diff import any_change, compare_rows
 from palimpsest.operators.moves import reclassify_moves, summarize
 from palimpsest.schema import Options
+from palimpsest.stage import materialize
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,12 @@ class Comparison:
 def compare_blocks(units: DataFrame, options: Options | None = None, warnings: DataFrame | None = None) -> Comparison:
     """Paragraphs and table rows (schema.UNIT); ``warnings(pair_id, warnings)`` make a pair incomplete."""
     options = (options or Options()).check()
-    rows = compare_rows(align(units), units, options)
+    units = materialize(units, "units")
+    rows = materialize(compare_rows(materialize(align(units), "aligned"), units, options), "rows")
     evidence = lambda s: F.when(F.col(f"{s}_idx").isNotNull(), "docx-xml").otherwise("none")
     rows = rows.withColumns({"before_evidence": evidence("before"), "after_evidence": evidence("after"), "move_id": F.lit(None).cast("string")})
     if options.detect_moves:
-        rows = reclassify_moves(rows.drop("move_id"), units)
+        rows = materialize(reclassify_moves(rows.drop("move_id"), units), "moved-rows")
     return Comparison(rows, summarize(rows, warnings))
 
 
@@ -38,8 +40,9 @@ def compare_pages(units: DataFrame, options: Options | None = None, rasters: Dat
     operators.raster: a changed pixel changes a row.  Blank pages make a pair incomplete.
     """
     options = (options or Options()).check()
+    units = materialize(units, "units")
     trimmed = units.withColumn("text", omit_lines(F.col("text"), options.ignore_header_lines, options.ignore_footer_lines))
-    rows = compare_rows(align(trimmed, pages=True), units, options, "page")
+    rows = materialize(compare_rows(materialize(align(trimmed, pages=True), "aligned"), units, options, "page"), "rows")
     if rasters is not None:
         rows = rows.join(rasters, ["pair_id", "before_idx", "after_idx"], "left")
     else:
@@ -47,7 +50,7 @@ def compare_pages(units: DataFrame, options: Options | None = None, rasters: Dat
     status = F.when(F.col("status").isin("added", "removed"), F.col("status")).when(any_change(F.col("changes")) | (F.coalesce("changed_pixels", F.lit(0)) > 0), "changed").otherwise("unchanged")
     rows = rows.withColumns({"status": status, "before_evidence": text_evidence(F.col("before_text")), "after_evidence": text_evidence(F.col("after_text")), "move_id": F.lit(None).cast("string")})
     if options.detect_moves:
-        rows = reclassify_moves(rows.drop("move_id"), units)
+        rows = materialize(reclassify_moves(rows.drop("move_id"), units), "moved-rows")
     return Comparison(rows, summarize(rows, page_warnings(units, options)))
 
 

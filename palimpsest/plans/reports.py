@@ -40,7 +40,7 @@ def row_struct(rows: DataFrame, version: int = 2, fmt: str = "docx") -> Column:
         status = safe_enum(F.col("status"), STATUSES[:4], "changed")
         return F.struct(F.left("row_id", F.lit(120)).alias("id"), status.alias("status"), F.col("before_idx").alias("beforePage"), F.col("after_idx").alias("afterPage"), *text, F.col("changes"), *images, visual.alias("visual"))
     evidence = lambda s: F.struct(
-        F.coalesce(F.col(f"{s}_evidence"), F.lit("none")).alias("source"), clamp(opt(f"{s}_confidence", "double"), 0.0, 100.0).alias("confidence")
+        F.coalesce(F.col(f"{s}_evidence"), F.lit("none")).alias("source"), F.when(opt(f"{s}_confidence", "double").isNotNull(), clamp(opt(f"{s}_confidence", "double"), 0.0, 100.0)).alias("confidence")
     )
     cells = F.transform("cell_changes", lambda c: F.struct(c["before_cell"].alias("beforeCellIndex"), c["after_cell"].alias("afterCellIndex"), c["changes"].alias("changes")))
     return F.struct(
