@@ -37,7 +37,7 @@ def raster_diff(a: np.ndarray, b: np.ndarray, threshold: int) -> tuple[np.ndarra
     The canvas spans both images; outside an image everything is 255.
     """
     height, width = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
-    apart = np.abs(pad_white(a, height, width).astype(np.int16) - pad_white(b, height, width)).max(axis=2)
+    apart = np.abs(pad_white(a, height, width).astype(np.int32) - pad_white(b, height, width)).max(axis=2)
     changed = apart > threshold
     overlay = np.zeros((height, width, 4), np.uint8)
     overlay[changed, :3] = OVERLAY
