@@ -95,7 +95,13 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = both.withColumn("p", p).select("a", "b", "allowed", F.struct(cut("na").alias("na"), cut("nb").alias("nb")).alias("cut"))
         # a generator keeps the optimizer from writing the cut into every later use of it
         both = both.select("a", "b", "allowed", F.inline(F.array("cut")))
-    return both.where(F.levenshtein("na", "nb") <= F.col("allowed")).select("a", "b")
+    # replacing the words that differ, one for one, is a way to get from one to the other: often short enough
+    longer = lambda x, y: F.greatest(F.length(x), F.length(y))
+    wa, wb = F.split("na", " "), F.split("nb", " ")
+    swaps = F.aggregate(F.zip_with(wa, wb, lambda x, y: F.when(x == y, 0).otherwise(longer(x, y))), F.lit(0), lambda s, n: s + n)
+    most = F.when(F.size(wa) == F.size(wb), swaps).otherwise(longer("na", "nb"))
+    within = F.expr("levenshtein(na, nb, cast(allowed as int)) between 0 and allowed")  # -1 beyond the threshold
+    return both.where((most <= F.col("allowed")) | within).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

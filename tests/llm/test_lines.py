@@ -111,3 +111,21 @@ def test_pigeonhole(spark, flips):
         pairs.append((2 * i, 2 * i + 1))
     got = {(r.a, r.b) for r in ld.near_pairs(spark.createDataFrame(rows, "h long, simhash long")).collect()}
     assert set(pairs) <= got
+
+
+def test_similar_is_the_edit_distance(spark):
+    rng = random.Random(11)
+    words = ["a", "bb", "ccc", "dddd", "é"]
+    texts, pairs = [], []
+    for i in range(120):
+        x = rng.choices(words, k=rng.randint(1, 30))
+        y = list(x)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.randint(0, 1)] = rng.choices(words, k=rng.randint(0, 2)) or [""]
+        texts += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+        pairs.append((2 * i, 2 * i + 1))
+    names = dict(texts)
+    got = {(r.a, r.b) for r in ld.similar(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "h long, norm string")).collect()}
+    want = {(a, b) for a, b in pairs if edit(names[a], names[b]) <= int(max(len(names[a]), len(names[b])) * ld.MAX_EDIT)}
+    assert got == want and 10 < len(want) < 115
