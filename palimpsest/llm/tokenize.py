@@ -75,7 +75,12 @@ class Encoder:
         """Ids of one pre-token."""
         if self.drops_space and s.isspace():
             return b""
-        shown = s.encode().decode("latin-1").translate(self.letters)
+        if s.isascii() and s[0] > " ":
+            shown = s
+        elif s.isascii() and s[1:].isprintable() and s[0] == " ":
+            shown = self.letters[32] + s[1:]
+        else:
+            shown = s.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
