@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,12 +42,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table of ours through Hadoop's file system."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in ``order`` (nulls first).
 
@@ -150,10 +143,6 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds, F.lit(False))
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, before the next step writes its own."""
     import gc

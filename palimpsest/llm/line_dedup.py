@@ -148,18 +148,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     (or have none) count as one document, so their equal lines at equal places stay or go together.
     An empty table gives an empty result.  Columns of the input named like the output's are replaced.
     """
-    gone = duplicate_lines(docs, doc_id, text).withColumnRenamed("doc", "_doc")
+    gone = duplicate_lines(docs, doc_id, text).toDF("_doc", "_gone")
     df = docs.drop("n_lines", "n_removed").join(gone, F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
     df = df.withColumn("_lines", F.split(text, "\n"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.array_join(F.transform(F.array_sort(F.array_except(every, F.col("drop"))), lambda i: F.get(F.col("_lines"), i)), "\n")
+    kept = F.array_join(F.transform(F.array_sort(F.array_except(every, F.col("_gone"))), lambda i: F.get(F.col("_lines"), i)), "\n")
     return df.withColumns(
         {
             "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
-            text: F.when(F.col("drop").isNull(), F.col(text)).otherwise(kept),
+            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
         }
-    ).drop("_doc", "drop", "_lines")
+    ).drop("_doc", "_gone", "_lines")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from palimpsest.llm import line_dedup as ld
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, n_lines string, h string, doc string"
+SCHEMA = "doc_id long, text string, n_lines string, h string, drop string"
 
 
 def corpus():
