@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,6 +98,23 @@ def _edge_mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def pairs_within(rows: DataFrame, key: str, columns: list[str], condition: Callable[[str, str], Column], block: int = 1000) -> DataFrame:
+    """Every pair of ``rows`` (id, columns, members) of one key that meets ``condition``, once each: columns x and y, structs.
+
+    ``members`` says how many rows the key has.  A large key is dealt in blocks of about ``block``
+    rows, each of which meets itself and each other in a group of its own, so no task holds a key.
+    """
+    parts = F.greatest(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
+    me = F.struct(*columns)
+    rows = rows.select(key, "members", me.alias("me"), F.pmod(F.xxhash64(columns[0]), parts).cast("int").alias("own"))
+    left = rows.select(key, F.col("me").alias("x"), F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), parts - 1)).alias("q"))
+    right = rows.select(key, F.col("me").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"))
+    left, right = left.alias("l"), right.alias("r").hint("merge")
+    same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.p") == F.col("r.p")) & (F.col("l.q") == F.col("r.q"))
+    once = (F.col("l.p") < F.col("l.q")) | (F.col(f"x.{columns[0]}") < F.col(f"y.{columns[0]}"))
+    return left.join(right, same & once & condition("x", "y")).select("x", "y")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on unsigned 64-bit arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -4,9 +4,10 @@ Lines are lower-cased and lose their ASCII punctuation.  A line's
 64-bit SimHash is the majority vote of its words' hashes.  Two lines whose hashes differ in at most
 three bits agree on two of five 13-bit blocks at least, so lines meet under the ten pairs of blocks.
 Under each key the lines stand in the order of their hashes; each is compared with the NEAR lines
-before it and with the key's first, which is every pair up to NEAR + 1 lines and a chain with a
-leader beyond, so a family of near copies under one key costs no more than its size.  Pairs that
-agree are verified on their texts; the earliest line of each connected group stays.
+before it and with the key's first, which is every pair up to NEAR + 2 lines.  Pairs that agree are
+verified on their texts and give groups.  In keys of more lines, all pairs that lie between two
+groups are compared then, so a family of near copies, joined already, costs no more than its size
+and no pair within three bits is left out.  The earliest line of each connected group stays.
 
 All of it is DataFrame code; no Python runs on the executors.
 """
@@ -19,12 +20,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize, release
+from palimpsest.llm.common import connected_components, materialize, pairs_within, release
 
 #: Lines of fewer words are compared for equality only.
 MIN_WORDS = 5
 MAX_BITS = 3
 BLOCKS, BLOCK_BITS = 5, 13
+#: Bits of the parts into which a hot key's other three blocks are cut, MAX_BITS + 1 of them.
+PART_BITS = 10
 NEAR = 8
 #: Links need an edit distance of at most this share of the longer line.
 MAX_EDIT = 0.2
@@ -63,17 +66,63 @@ def simhashes(lines: DataFrame) -> DataFrame:
     return votes.select("doc", "line_no", "h", "words", reduce(lambda a, b: a.bitwiseOR(b), [bit(j) for j in range(64)]).alias("simhash"))
 
 
-def near_pairs(lines: DataFrame) -> DataFrame:
-    """``lines(h, simhash)``, distinct h, to distinct pairs (a, b) of lines whose hashes differ in at most MAX_BITS bits."""
-    block = [F.shiftrightunsigned("simhash", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
-    keys = [F.lit(n << 2 * BLOCK_BITS).bitwiseOR(F.shiftleft(block[i], BLOCK_BITS)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    rows = lines.select("h", "simhash", F.explode(F.array(*keys)).alias("key"))
+def _bits(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y))
+
+
+def _blocks() -> list[Column]:
+    return [F.shiftrightunsigned("simhash", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
+
+
+def _keys() -> list[Column]:
+    block = _blocks()
+    return [F.lit(n << 2 * BLOCK_BITS).bitwiseOR(F.shiftleft(block[i], BLOCK_BITS)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+
+
+def first_pairs(lines: DataFrame) -> DataFrame:
+    """``lines(h, simhash)``, distinct h, to pairs (a, b, bits) from each key's window, and hot keys.
+
+    A key of more than NEAR + 2 lines isn't settled by its window: it gives one row with the key as
+    a and as b, and null bits.
+    """
+    rows = lines.select("h", "simhash", F.explode(F.array(*_keys())).alias("key"))
     order = Window.partitionBy("key").orderBy("simhash", "h")
     me = F.struct("h", "simhash")
     others = F.array(F.first(me).over(order), *[F.lag(me, k).over(order) for k in range(1, NEAR + 1)])
-    met = rows.select("h", "simhash", others.alias("others"))
-    met = met.select("h", "simhash", F.explode(F.filter("others", lambda o: o.isNotNull() & (o["h"] != F.col("h")) & (F.bit_count(o["simhash"].bitwiseXOR(F.col("simhash"))) <= MAX_BITS))).alias("o"))
-    return met.select(F.least("h", "o.h").alias("a"), F.greatest("h", "o.h").alias("b"), F.bit_count(F.col("simhash").bitwiseXOR(F.col("o.simhash"))).alias("bits")).distinct()
+    met = rows.select("key", "h", "simhash", F.row_number().over(order).alias("place"), others.alias("others"))
+    near = F.filter("others", lambda o: o.isNotNull() & (o["h"] != F.col("h")) & (_bits(o["simhash"], F.col("simhash")) <= MAX_BITS))
+    near = F.transform(near, lambda o: F.struct(F.least("h", o["h"]).alias("a"), F.greatest("h", o["h"]).alias("b"), _bits(F.col("simhash"), o["simhash"]).alias("bits")))
+    hot = F.array(F.struct(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(None).cast("int").alias("bits")))
+    return met.select(F.inline(F.when(F.col("place") == NEAR + 3, F.concat(near, hot)).otherwise(near))).distinct()
+
+
+def hot_pairs(lines: DataFrame, hot: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) under the keys ``hot(key)`` that the window may have missed and ``groups(node, component)`` don't join.
+
+    Lines under a key agree on two blocks; of the other three blocks, cut in four, a pair within
+    MAX_BITS agrees on one part at least.  All lines that share such a part are compared.
+    """
+    block = _blocks()
+    kinds = [[F.shiftleft(block[k], BLOCK_BITS * m) for m, k in enumerate(set(range(BLOCKS)) - set(ij))] for ij in combinations(range(BLOCKS), 2)]
+    rest = F.array(*[F.struct(key.alias("key"), reduce(lambda a, b: a.bitwiseOR(b), ks).alias("rest")) for key, ks in zip(_keys(), kinds, strict=True)])
+    rows = lines.select("h", "simhash", F.inline(rest)).join(hot, "key")
+    rows = rows.join(groups.toDF("h", "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    parts = F.array(*[F.xxhash64("key", F.lit(m), F.shiftrightunsigned("rest", PART_BITS * m).bitwiseAND(F.lit((1 << PART_BITS) - 1))) for m in range(MAX_BITS + 1)])
+    rows = materialize(rows.select("h", "simhash", "component", F.explode(parts).alias("part")), "hot-lines")
+    open_parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("part", "members")
+    near = lambda x, y: (F.col(f"{x}.component") != F.col(f"{y}.component")) & (_bits(F.col(f"{x}.simhash"), F.col(f"{y}.simhash")) <= MAX_BITS)
+    found = pairs_within(rows.join(open_parts, "part"), "part", ["h", "simhash", "component"], near)
+    return found.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+
+
+def near_pairs(lines: DataFrame) -> DataFrame:
+    """``lines(h, simhash)``, distinct h, to all distinct pairs (a, b, bits) of lines whose hashes differ in at most MAX_BITS bits."""
+    met = materialize(first_pairs(lines), "line-pairs")
+    alone = lines.select("h", F.col("h").alias("component"))
+    more = hot_pairs(lines, met.where("bits is null").select(F.col("a").alias("key")), alone)
+    sims = lines.select("h", "simhash")
+    more = more.join(sims.toDF("a", "sa"), "a").join(sims.toDF("b", "sb"), "b").select("a", "b", _bits(F.col("sa"), F.col("sb")).alias("bits"))
+    return met.where("bits is not null").union(more).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -104,6 +153,17 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where((most <= F.col("allowed")) | within).select("a", "b")
 
 
+def line_texts(docs: DataFrame, doc_id: str, text: str, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h, norm) of the lines in ``pairs``, from their first occurrences."""
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(distinct, "h").select("h", F.coalesce("at.doc", F.lit(-1 << 63)).alias("doc"), "at.line_no")
+    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "line_no")).alias("wanted"))
+    some = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1 << 63)).alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
+    some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", normalized(F.get("lines", F.col("w.line_no"))).alias("norm")).where(F.xxhash64("norm") == F.col("h"))
+    texts = materialize(some.dropDuplicates(["h"]), "line-texts")
+    release(docs.sparkSession)
+    return texts
+
+
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines that go: (doc, drop), ``drop`` the array of their numbers.
 
@@ -115,15 +175,11 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lines = materialize(simhashes(line_rows(docs, doc_id, text)), "lines")
     release(spark)
     distinct = materialize(lines.groupBy("h").agg(F.min(first_of).alias("at"), F.count(F.lit(1)).alias("times"), F.first("words").alias("words"), F.first("simhash").alias("simhash")), "distinct-lines")
-    pairs = materialize(near_pairs(distinct.where(F.col("words") >= MIN_WORDS).select("h", "simhash")), "line-pairs")
-    release(spark)
-    # texts of the lines in question, from their first occurrences
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(distinct, "h").select("h", F.coalesce("at.doc", F.lit(-1 << 63)).alias("doc"), "at.line_no")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "line_no")).alias("wanted"))
-    some = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1 << 63)).alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
-    some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", normalized(F.get("lines", F.col("w.line_no"))).alias("norm")).where(F.xxhash64("norm") == F.col("h"))
-    texts = materialize(some.dropDuplicates(["h"]), "line-texts")
+    hashes = distinct.where(F.col("words") >= MIN_WORDS).select("h", "simhash")
+    met = materialize(first_pairs(hashes), "line-pairs")
     release(spark)
+    pairs, hot = met.where("bits is not null"), met.where("bits is null").select(F.col("a").alias("key"))
+    texts = line_texts(docs, doc_id, text, distinct, pairs)
     # each line with its likeliest partner first; then only pairs that still lie between two groups
     both = pairs.union(pairs.select("b", "a", "bits"))
     best = both.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
@@ -132,8 +188,13 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = connected_components(links)
     rest = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = links.union(similar(rest, texts))
-    groups = connected_components(links).toDF("h", "component")
+    links = materialize(links.union(similar(rest, texts)), "line-links")
+    groups = connected_components(links)
+    if not hot.isEmpty():
+        missed = materialize(hot_pairs(hashes, hot, groups).join(pairs, ["a", "b"], "left_anti"), "hot-pairs")
+        release(spark)
+        groups = connected_components(links.union(similar(missed, line_texts(docs, doc_id, text, distinct, missed))))
+    groups = groups.toDF("h", "component")
     firsts = distinct.join(groups, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "at", "times")
     keep = firsts.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("lines")).where("lines > 1")
     repeated = materialize(firsts.join(keep, "component").select("h", F.col("keep.doc").alias("kd"), F.col("keep.line_no").alias("kl")), "repeated-lines")

@@ -129,3 +129,32 @@ def test_similar_is_the_edit_distance(spark):
     got = {(r.a, r.b) for r in ld.similar(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "h long, norm string")).collect()}
     want = {(a, b) for a, b in pairs if edit(names[a], names[b]) <= int(max(len(names[a]), len(names[b])) * ld.MAX_EDIT)}
     assert got == want and 10 < len(want) < 115
+
+
+def test_hot_key_has_all_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):  # 300 lines that agree on blocks 0 and 1; partners differ in a bit of each other block
+        s = rng.getrandbits(37) << 26 | 0x2ABCDEF
+        rows += [(2 * i, s), (2 * i + 1, s ^ sum(1 << rng.randrange(13 * b, 13 * b + 11) for b in (2, 3, 4)))]
+    got = [(r.a, r.b) for r in ld.near_pairs(spark.createDataFrame(rows, "h long, simhash long")).collect()]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= ld.MAX_BITS}
+    assert len(want) >= 150 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_hot_key_lines(spark):
+    # permutations of the same words: one hash, most of them far from each other; the copies of each lie apart
+    rng = random.Random(8)
+    words = "".join(chr(97 + i) for i in range(11))
+    lines = []
+    for _ in range(60):
+        order = [c * 6 for c in rng.sample(words, 11)]
+        lines.append(" ".join(order))
+        lines.append(" ".join(order[:9] + order[:8:-1]))
+    rng.shuffle(lines)
+    rows = [(i, x, None, None, None) for i, x in enumerate(lines)]
+    found = ld.simhashes(ld.line_rows(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")).collect()
+    assert len({r.simhash for r in found}) == 1
+    gone = {d for _, d, _ in expected(rows, {x: 0 for x in lines})}
+    got = {r.doc_id for r in ld.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect() if r.n_removed}
+    assert got == gone and len(gone) >= 60
