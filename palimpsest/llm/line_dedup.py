@@ -1,6 +1,6 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are lower-cased and lose their ASCII punctuation.  A line's
+Lines are lower-cased and runs of anything but letters and digits become one blank.  A line's
 64-bit SimHash is the majority vote of its words' hashes.  Two lines whose hashes differ in at most
 three bits agree on two of five 13-bit blocks at least, so lines meet under the ten pairs of blocks.
 Under each key the lines stand in the order of their hashes; each is compared with the NEAR lines
@@ -33,18 +33,13 @@ NEAR = 8
 MAX_EDIT = 0.2
 
 
-#: Characters that normalising takes out.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
 def normalized(line: Column) -> Column:
-    """Lower-cased, without ASCII punctuation, blanks and tabs at the ends or a second blank in a row."""
-    bare = F.translate(F.lower(line), PUNCTUATION + "\t\r", "")
-    return F.trim(F.replace(F.replace(bare, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" ")))
+    """Lower-cased, each run of anything but letters, their marks and digits one blank, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, line_no (from 0) and the normalised line of every line with more than punctuation."""
+    """doc, line_no (from 0) and the normalised line of every line with a letter or digit."""
     lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
     # dealt by document once: whatever is summed up by document and line stays where it is
     lines = lines.repartition("doc").select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -168,7 +163,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Lines that go: (doc, drop), ``drop`` the array of their numbers.
 
     The earliest line, by document id (null first) and line number, of each connected group stays;
-    lines of nothing but punctuation belong to no group.
+    lines without a letter or digit belong to no group.
     """
     spark = docs.sparkSession
     first_of = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "line_no")

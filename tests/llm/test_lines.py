@@ -158,3 +158,10 @@ def test_hot_key_lines(spark):
     gone = {d for _, d, _ in expected(rows, {x: 0 for x in lines})}
     got = {r.doc_id for r in ld.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect() if r.n_removed}
     assert got == gone and len(gone) >= 60
+
+
+def test_normalizing_is_unicode(spark):
+    same = ["one two-three it's four", "One\ttwo/three  it\u2019s\u2014four\u2026", "\u201cone two      three it s four\u201d"]
+    rows = [(i, x + "\n\u2014\u2026", None, None, None) for i, x in enumerate(same)] + [(9, "\u0915\u0940", None, None, None), (10, "\u0915\u093e", None, None, None)]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: rows[0][1], 1: "\u2014\u2026", 2: "\u2014\u2026", 9: "\u0915\u0940", 10: "\u0915\u093e"}
