@@ -3,9 +3,11 @@
 Each of TREES independent trees branches the documents by their minwise tokens: a document's node at
 depth d is named by its first d minwise shingles under the tree's hash functions, so similar documents
 take the same path often and others part early.  Nodes of at most SMALL documents are compared
-exhaustively, larger ones branch further; what is still large at the last depth is a family of close
-copies, and its documents are compared with two documents drawn from the node, others in every tree.
-A pair at the threshold misses all trees with a chance under 0.002, at 0.9 under 1e-6.
+exhaustively, larger ones branch further; what is still large at the last depth is a family, and its
+documents are compared with two documents drawn from the node, others in every tree.  That joins
+close copies at little cost; then all pairs of the nodes still large at depth EXACT that lie between
+two components are compared as well.  So every pair that shares a node at that depth is met: a pair
+at the threshold misses all trees with a chance under 0.002, at 0.9 under 1e-6.
 
 Equal sets are one document throughout.  Candidates first pass a 128-bit sketch (it errs at five
 standard deviations from the threshold), then the full sets are compared, first each document
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize, release, shingle_hashes, word_hashes
+from palimpsest.llm.common import connected_components, materialize, pairs_within, release, shingle_hashes, word_hashes
 
 TREES, DEPTHS = 20, (3, 5, 7)
 DEPTH = DEPTHS[-1]
+EXACT = 5
 SMALL = 24
 #: Differing sketch bits of 128: a pair at similarity 0.8 differs in 12.8, standard deviation 3.4.
 SKETCH_BITS = 30
@@ -114,8 +117,11 @@ def _node(depth: int) -> Column:
     return F.xxhash64(F.lit(depth), F.col("tree"), F.substring("path", 1, 2 * depth))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``reps(doc, sig, b1, b2)``, distinct sets, to distinct pairs (a, b, differ) with a < b."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``reps(doc, sig, b1, b2)``, distinct sets, to distinct pairs (a, b, differ) with a < b, and what they leave open.
+
+    Open are the rows (doc, b1, b2, node, members) of nodes still large at depth EXACT.
+    """
     path = F.substring(F.col("sig"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
     active = reps.select("doc", "b1", "b2", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("doc", "b1", "b2", "tree", path.alias("path"))
     pairs = None
@@ -131,13 +137,33 @@ def candidates(reps: DataFrame) -> DataFrame:
         own = small.select(F.explode(F.flatten(F.transform("l", near))).alias("p")).select("p.*")
         pairs = own if pairs is None else pairs.union(own)
         active = rows.where(F.col("members") > SMALL).select("doc", "b1", "b2", "tree", "path", "node")
+        if depth == EXACT:
+            large = rows.where(F.col("members") > SMALL).select("doc", "b1", "b2", "node", "members")
         if depth != DEPTH:
             active = active.drop("node")
     member = F.struct("doc", "b1", "b2")
     drawn = active.groupBy("node").agg(F.min_by(member, F.xxhash64("node", "doc")).alias("x"), F.max_by(member, F.xxhash64("node", "doc")).alias("y"))
     met = active.join(drawn, "node").select(member.alias("m"), F.explode(F.array("x", "y")).alias("o")).where("m.doc <> o.doc")
     met = met.select(F.least("m.doc", "o.doc").alias("a"), F.greatest("m.doc", "o.doc").alias("b"), _differ(F.col("m"), F.col("o")).alias("differ")).where(F.col("differ") <= SKETCH_BITS)
-    return pairs.union(met).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return pairs.union(met).groupBy("a", "b").agg(F.min("differ").alias("differ")), large
+
+
+def large_node_pairs(large: DataFrame, sizes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) in large nodes that lie between two components of ``found`` and may be similar enough.
+
+    ``sizes(doc, n)`` are sizes of the sets: sets of too different sizes can't be.
+    """
+    rows = large.join(found.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    nodes = rows.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node")
+    rows = materialize(rows.join(nodes, "node").join(sizes, "doc"), "open-nodes")
+
+    def near(x: str, y: str) -> Column:
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        sized = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+        return (F.col(f"{x}.component") != F.col(f"{y}.component")) & sized & (_differ(F.col(x), F.col(y)) <= SKETCH_BITS)
+
+    met = pairs_within(rows, "node", ["doc", "b1", "b2", "n", "component"], near)
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
 def _candidate_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -169,8 +195,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     reps = linked.groupBy("digest").agg(F.min("doc").alias("rep"))
     same = linked.select("digest", "doc").join(reps, "digest")
     firsts = linked.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("d")), "doc", "left_semi").dropDuplicates(["digest"])
-    firsts = firsts.join(reps, "digest").select(F.col("rep").alias("doc"), "sig", "b1", "b2")
-    pairs = materialize(candidates(firsts), "pairs")
+    firsts = firsts.join(reps, "digest").select(F.col("rep").alias("doc"), "n", "sig", "b1", "b2")
+    pairs, large = candidates(firsts)
+    pairs = materialize(pairs, "pairs")
     release(spark)
     sets = _candidate_sets(pairs, texts.where("doc is not null"), width)
     release(spark)
@@ -184,6 +211,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
     rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
     edges = edges.union(_links(rest, sets, percent))
+    if not large.isEmpty():
+        edges = materialize(edges, "links")
+        missed = large_node_pairs(large, firsts.select("doc", "n"), connected_components(edges), percent)
+        missed = materialize(missed.join(pairs, ["a", "b"], "left_anti"), "missed")
+        release(spark)
+        sets = _candidate_sets(missed, texts.where("doc is not null"), width)
+        edges = edges.union(_links(missed, sets, percent))
     edges = edges.union(same.where("doc <> rep").select(F.col("rep"), F.col("doc")))
     found = connected_components(edges)
     out = sig.select("doc", "n").join(found.toDF("doc", "component"), "doc", "left")

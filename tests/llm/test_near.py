@@ -75,3 +75,13 @@ def test_components(spark):
     want = union({x for e in edges for x in e}, edges)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: want[n] for n in nodes}
+
+
+def test_template_family(spark):
+    # 85 words of a template and 15 own: partners share four of those (89 of 111), all others are at 85 of 115
+    template = [f"t{i}" for i in range(85)]
+    rows = []
+    for i in range(400):
+        rows += [(2 * i + k, " ".join(template + [f"p{i}x{j}" for j in range(4)] + [f"o{i}x{k}x{j}" for j in range(11)]), None, None) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in nd.components(spark.createDataFrame(rows, SCHEMA), width=1).collect()}
+    assert got == {d: d - d % 2 for d in range(800)}
