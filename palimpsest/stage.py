@@ -5,19 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once under spark.checkpoint.dir (a temporary folder where unset, as in tests) and read it back.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir.
 
-    Python steps whose result is used several times run once, and lost executors cost nothing.
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that
+    would be a folder the executors don't see, so the job fails at once.
     """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in the shared folder."""
+    return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables.  Results not yet written or collected depend on them: call it after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palimpsest")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
