@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.stage import materialize, shared_path
+
+__all__ = ["materialize", "shared_path"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -19,30 +20,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="palimpsest-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in ``order`` (nulls first).
 
@@ -64,26 +41,56 @@ def running_start(df: DataFrame, order: list[str], value: str, out: str) -> Data
     )
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that none of ``df``'s columns has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys with more than one in HEAVY of all rows are joined by broadcast: HEAVY of them at most.  ONE_TASK rows may meet in any case.
+HEAVY, ONE_TASK = 1000, 1_000_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``groups``, one row a key, on ``key``; no task gathers a hot key's rows.
+
+    ``groups.n`` is the number of rows that a key has at most; ``total`` their sum (or more), summed here if not given.
+    The hot keys' groups go to all executors, and their number is bounded by HEAVY.
+    """
+    if total is None:
+        total = groups.agg(F.sum("n")).first()[0] or 0
+    if total <= ONE_TASK:
+        return rows.join(groups, key)
+    heavy = F.broadcast(groups.where(F.col("n") * HEAVY > total))
+    hot = rows.join(heavy, key)
+    return hot.unionByName(rows.join(heavy.select(key), key, "left_anti").join(groups.where(F.col("n") * HEAVY <= total), key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` of longs to ``(node, component)``, the smallest node.
 
     Alternates large-star and small-star steps; each writes its edges in the shared folder.  A
-    group's smallest neighbour comes from an aggregate with partial sums, so a node with very
-    many edges is never gathered in one task.  Nodes without an edge are not returned.
+    group's smallest neighbour comes from an aggregate with partial sums and goes back to a node
+    of very many edges by broadcast, so such a node is never gathered in one task.  Nodes without an
+    edge are not returned.
     """
-    spark = edges.sparkSession
     cur = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cur = materialize(cur, "edges")
     mark = _edge_mark(cur)
-    while True:
+    while mark[0]:
         both = cur.union(cur.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: each larger neighbour of u points at u's smallest neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_groups(both.where("v > u"), least, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours point at the smallest of them
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u")
-        small = small.select(F.col("v").alias("u"), "m").union(floor).where("u <> m").distinct()
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, floor, "u", mark[0])
+        small = small.select(F.col("v").alias("u"), "m").union(floor.select("u", "m")).where("u <> m").distinct()
         cur = materialize(small.select(F.col("m").alias("a"), F.col("u").alias("b")), "edges")
         now = _edge_mark(cur)
         if now == mark:

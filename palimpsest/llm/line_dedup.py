@@ -1,13 +1,20 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are lower-cased and runs of anything but letters and digits become one blank.  A line's
-64-bit SimHash is the majority vote of its words' hashes.  Two lines whose hashes differ in at most
-three bits agree on two of five 13-bit blocks at least, so lines meet under the ten pairs of blocks.
-Under each key the lines stand in the order of their hashes; each is compared with the NEAR lines
-before it and with the key's first, which is every pair up to NEAR + 2 lines.  Pairs that agree are
-verified on their texts and give groups.  In keys of more lines, all pairs that lie between two
-groups are compared then, so a family of near copies, joined already, costs no more than its size
-and no pair within three bits is left out.  The earliest line of each connected group stays.
+Lines are lower-cased and cut into words, runs of letters, their marks and digits.  A line's SimHash has
+BLOCKS blocks of BLOCK_BITS bits; each distinct word votes in one block only, which its hash chooses.  So a
+word that changes, comes or goes touches two blocks at most, the other two stay, and lines meet under
+the six pairs of blocks: two lines that differ in one word are met, however much that word changes, and
+lines that differ in more as far as two blocks stay alike.  A pair of blocks that a line has fewer than
+KEY_WORDS words in tells too little and is no key.  In lines of up to SHORT words each word is a block of
+its own, and lines meet under what is left without one word.  Lines of BLOCK_LEAST to SHORT words meet in
+both ways.
+
+Keys of up to SMALL lines compare all pairs.  In larger ones each line is compared with the key's first,
+then, block against block, every pair that lies between two groups not joined so far: a family
+joined to its first costs no more than its size, and no pair that shares a key is left out.
+
+Pairs are verified by their edit distance, counted in signs for lines of up to LONG words and in words
+beyond.  The earliest line of each connected group stays.
 
 All of it is DataFrame code; no Python runs on the executors.
 """
@@ -20,143 +27,180 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize, pairs_within, release
+from palimpsest.llm.common import connected_components, fresh_names, join_groups, materialize, pairs_within, release
 
 #: Lines of fewer words are compared for equality only.
 MIN_WORDS = 5
-MAX_BITS = 3
-BLOCKS, BLOCK_BITS = 5, 13
-#: Bits of the parts into which a hot key's other three blocks are cut, MAX_BITS + 1 of them.
-PART_BITS = 10
-NEAR = 8
+#: Lines of up to SHORT words meet without one word, those of BLOCK_LEAST words or more under pairs of blocks.
+SHORT, BLOCK_LEAST = 20, 16
+BLOCKS, BLOCK_BITS, AGREE, KEY_WORDS = 4, 24, 2, 4
+#: Keys of more lines compare with their first line, then between groups.
+SMALL = 16
 #: Links need an edit distance of at most this share of the longer line.
 MAX_EDIT = 0.2
+#: Up to this number of words, the edit distance counts signs.
+LONG = 32
+#: What stands between words, line ends apart.  The inner class is looked at first and holds the most frequent signs.
+BETWEEN = r"[^[abcdefghijklmnopqrstuvwxyz0123456789\n]\p{L}\p{M}\p{N}]+"
 
+#: A word's hash votes with the bits 5 * i and 5 * i + 1 for i up to 11.  In the fast way a block's votes are summed in
+#: twelve lanes of 5 bits, else in lanes of 15 bits, four to a long.
+_LANES5 = sum(1 << 5 * i for i in range(12))
+_LANES15 = sum(1 << 15 * i for i in range(4))
+_FAST, _MOST_VOTES = 31, (1 << 14) - 1
+_VOTES = [(r, q) for r in range(2) for q in range(3)]
+#: A word's block is the range in which its hash lies.
+_CUTS = [-(1 << 63) + (b << 64) // BLOCKS for b in range(1, BLOCKS)]
+_PAIRS = list(combinations(range(BLOCKS), AGREE))
 
-def normalized(line: Column) -> Column:
-    """Lower-cased, each run of anything but letters, their marks and digits one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
+def normalized(text: Column) -> Column:
+    """Lower-cased; each run of anything but letters, their marks, digits and line ends is one blank."""
+    return F.regexp_replace(F.lower(text), BETWEEN, " ")
 
-def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, line_no (from 0) and the normalised line of every line with a letter or digit."""
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
-    # dealt by document once: whatever is summed up by document and line stays where it is
-    lines = lines.repartition("doc").select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc", "line_no", normalized(F.col("line")).alias("norm")).where("norm <> ''")
 
+def _words(line: Column) -> Column:
+    """The words of a normalised line that has some."""
+    return F.split(F.trim(line), " ")
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """doc, line_no, h (64-bit hash of the line), words, simhash.
 
-    Word hashes are added up two bits to a 64-bit lane pair, so 32 sums count 64 bits; a line's
-    words are together in one task, so the sums are complete before anything moves.
-    """
-    words = lines.select("doc", "line_no", F.xxhash64("norm").alias("h"), F.explode(F.split("norm", " ")).alias("w"))
-    words = words.select("doc", "line_no", "h", F.xxhash64("w").alias("x"))
-    mask = (1 << 32) | 1
-    lanes = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(mask))).alias(f"s{j}") for j in range(32)]
-    votes = words.groupBy("doc", "line_no", "h").agg(F.count(F.lit(1)).alias("words"), *lanes)
-    bit = lambda j: F.when(2 * (F.col(f"s{j % 32}").bitwiseAND(F.lit(0xFFFFFFFF)) if j < 32 else F.shiftrightunsigned(f"s{j % 32}", 32)) > F.col("words"), F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
-    return votes.select("doc", "line_no", "h", "words", reduce(lambda a, b: a.bitwiseOR(b), [bit(j) for j in range(64)]).alias("simhash"))
+def _hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
 
+def _block_of(xs: str, b: int) -> Column:
+    low, high = _CUTS[b - 1] if b else None, _CUTS[b] if b < BLOCKS - 1 else None
+    return F.filter(xs, lambda x: (x < high) if low is None else (x >= low) if high is None else (x >= low) & (x < high))
 
-def _bits(x: Column, y: Column) -> Column:
-    return F.bit_count(x.bitwiseXOR(y))
 
+def _sum(xs: str, value) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + value(x))
 
-def _blocks() -> list[Column]:
-    return [F.shiftrightunsigned("simhash", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
 
+def _any_of(parts: list[Column]) -> Column:
+    return reduce(Column.bitwiseOR, parts)
 
-def _keys() -> list[Column]:
-    block = _blocks()
-    return [F.lit(n << 2 * BLOCK_BITS).bitwiseOR(F.shiftleft(block[i], BLOCK_BITS)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
 
+def _block_values(lines: DataFrame, kept: list[str]) -> DataFrame:
+    """Add v0.., the blocks' bits that more than half of their hashes x0.. have set, and k0.., the numbers of hashes."""
+    blocks = range(BLOCKS)
+    shifted = lambda x, n: F.shiftrightunsigned(x, n) if n else x
+    lines = lines.select(*kept, *[f"x{b}" for b in blocks], *[F.size(f"x{b}").cast("long").alias(f"k{b}") for b in blocks])
+    fast = lambda b, r: F.when(F.col(f"k{b}") <= _FAST, _sum(f"x{b}", lambda x: shifted(x, r).bitwiseAND(F.lit(_LANES5))))
+    lines = lines.select("*", *[fast(b, r).alias(f"a{b}{r}") for b in blocks for r in range(2)])
+    wide = lambda b, r, q: F.coalesce(shifted(F.col(f"a{b}{r}"), 5 * q).bitwiseAND(F.lit(31 * _LANES15)), _sum(f"x{b}", lambda x: shifted(x, r + 5 * q).bitwiseAND(F.lit(_LANES15))))
+    lines = lines.select("*", *[wide(b, r, q).alias(f"s{b}{r}{q}") for b in blocks for r, q in _VOTES])
+    # twice the votes against the number of words, in all lanes at once: bit 14 says which is more
+    ahead = lambda b, r, q: F.shiftrightunsigned(F.lit(_MOST_VOTES * _LANES15) + 2 * F.col(f"s{b}{r}{q}") - F.col(f"k{b}") * _LANES15, 14).bitwiseAND(F.lit(_LANES15))
+    lines = lines.select(*kept, *[F.col(f"{c}{b}") for b in blocks for c in "kx"], *[F.when(F.col(f"k{b}") <= _MOST_VOTES, ahead(b, r, q)).alias(f"g{b}{r}{q}") for b in blocks for r, q in _VOTES])
+    packed = lambda g: _any_of([shifted(F.col(g), 14 * i).bitwiseAND(F.lit(1 << i).cast("long")) for i in range(4)])
+    # blocks of more words than a lane counts take a sum for every bit
+    bits = [15 * i + r + 5 * q for r, q in _VOTES for i in range(4)]
+    many = lambda b: _any_of([F.when(2 * _sum(f"x{b}", lambda x, bit=bit: shifted(x, bit).bitwiseAND(F.lit(1).cast("long"))) > F.col(f"k{b}"), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, bit in enumerate(bits)])
+    value = lambda b: F.coalesce(_any_of([F.shiftleft(packed(f"g{b}{r}{q}"), 4 * n) for n, (r, q) in enumerate(_VOTES)]), many(b))
+    return lines.select(*kept, *[F.col(f"k{b}") for b in blocks], *[value(b).alias(f"v{b}") for b in blocks])
 
-def first_pairs(lines: DataFrame) -> DataFrame:
-    """``lines(h, simhash)``, distinct h, to pairs (a, b, bits) from each key's window, and hot keys.
 
-    A key of more than NEAR + 2 lines isn't settled by its window: it gives one row with the key as
-    a and as b, and null bits.
+def line_hashes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, line_no (from 0), h (64-bit hash of the words in order), n, short (word hashes of short lines), s1 and s2 of every line with words.
+
+    s1 and s2 hold the SimHash of longer lines, two blocks each, and from bit 48 on how many
+    distinct words voted in them, 15 at most.  All is made within the row: nothing moves for it.
     """
-    rows = lines.select("h", "simhash", F.explode(F.array(*_keys())).alias("key"))
-    order = Window.partitionBy("key").orderBy("simhash", "h")
-    me = F.struct("h", "simhash")
-    others = F.array(F.first(me).over(order), *[F.lag(me, k).over(order) for k in range(1, NEAR + 1)])
-    met = rows.select("key", "h", "simhash", F.row_number().over(order).alias("place"), others.alias("others"))
-    near = F.filter("others", lambda o: o.isNotNull() & (o["h"] != F.col("h")) & (_bits(o["simhash"], F.col("simhash")) <= MAX_BITS))
-    near = F.transform(near, lambda o: F.struct(F.least("h", o["h"]).alias("a"), F.greatest("h", o["h"]).alias("b"), _bits(F.col("simhash"), o["simhash"]).alias("bits")))
-    hot = F.array(F.struct(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(None).cast("int").alias("bits")))
-    return met.select(F.inline(F.when(F.col("place") == NEAR + 3, F.concat(near, hot)).otherwise(near))).distinct()
-
-
-def hot_pairs(lines: DataFrame, hot: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs (a, b) under the keys ``hot(key)`` that the window may have missed and ``groups(node, component)`` don't join.
-
-    Lines under a key agree on two blocks; of the other three blocks, cut in four, a pair within
-    MAX_BITS agrees on one part at least.  All lines that share such a part are compared.
+    lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(normalized(F.col(text)), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    lines = lines.select("doc", "line_no", _words(F.col("line")).alias("words")).select("doc", "line_no", _hashes("words").alias("all"))
+    lines = lines.withColumns({"n": F.size("all"), "h": F.xxhash64("all")})
+    xs = F.when(F.col("n") >= BLOCK_LEAST, F.array_distinct("all"))
+    # 56 bits of a hash, so that the sum of SHORT stays a long
+    short = F.when(F.col("n").between(MIN_WORDS, SHORT), F.transform("all", lambda x: F.shiftrightunsigned(x, 8)))
+    kept = ["doc", "line_no", "h", "n", "short"]
+    lines = lines.select("doc", "line_no", "h", "n", short.alias("short"), xs.alias("xs"))
+    lines = _block_values(lines.select(*kept, *[_block_of("xs", b).alias(f"x{b}") for b in range(BLOCKS)]), kept)
+    half = lambda b: _any_of([F.col(f"v{b}"), F.shiftleft(f"v{b + 1}", BLOCK_BITS), F.shiftleft(F.least(f"k{b}", F.lit(15)), 48), F.shiftleft(F.least(f"k{b + 1}", F.lit(15)), 52)])
+    return lines.select(*kept, *[F.when(F.col("n") >= BLOCK_LEAST, half(b)).alias(s) for s, b in (("s1", 0), ("s2", 2))])
+
+
+def line_keys(lines: DataFrame) -> DataFrame:
+    """``lines(h, n, short, s1, s2)`` to (key, h), a row for every block key."""
+    part = lambda b, at, bits: F.shiftrightunsigned(F.col("s1" if b < 2 else "s2"), at).bitwiseAND(F.lit((1 << bits) - 1))
+    value, votes = (lambda b: part(b, BLOCK_BITS * (b % 2), BLOCK_BITS)), (lambda b: part(b, 48 + 4 * (b % 2), 4))
+    pairs = F.array_compact(F.array(*[F.when(votes(i) + votes(j) >= KEY_WORDS, F.xxhash64(F.lit(t), value(i), value(j))) for t, (i, j) in enumerate(_PAIRS)]))
+    without = F.array_append(F.transform("short", lambda x: F.xxhash64(F.col("total") - x)), F.xxhash64("total"))
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(F.col("n") >= BLOCK_LEAST, pairs).otherwise(none), F.when(F.col("short").isNotNull(), F.array_distinct(without)).otherwise(none))
+    lines = lines.where(F.col("n") >= MIN_WORDS).withColumn("total", _sum("short", lambda x: x))
+    return lines.select("h", F.explode(keys).alias("key"))
+
+
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """(key, h, members, first) of the keys that two or more of ``lines``, distinct by h, have."""
+    own = Window.partitionBy("key")
+    met = line_keys(lines).select("key", "h", F.count(F.lit(1)).over(own).alias("members"), F.min("h").over(own).alias("first"))
+    return met.where("members > 1")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """``met`` of shared_keys to distinct pairs (a, b): all of the small keys, those with the key's first of the others."""
+    near = lambda x, i: F.transform(F.slice("l", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    small = met.where(F.col("members") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("l"))
+    small = small.select(F.inline(F.flatten(F.transform("l", near))))
+    star = met.where((F.col("members") > SMALL) & (F.col("h") > F.col("first"))).select(F.col("first").alias("a"), F.col("h").alias("b"))
+    return small.union(star).distinct()
+
+
+def open_pairs(met: DataFrame, groups: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The pairs (a, b) under large keys that ``groups(node, component)`` don't join and whose lengths allow a link.
+
+    ``lengths(h, n, chars)``.  A key is dealt in blocks of lines that meet each other, so no task holds a key.
     """
-    block = _blocks()
-    kinds = [[F.shiftleft(block[k], BLOCK_BITS * m) for m, k in enumerate(set(range(BLOCKS)) - set(ij))] for ij in combinations(range(BLOCKS), 2)]
-    rest = F.array(*[F.struct(key.alias("key"), reduce(lambda a, b: a.bitwiseOR(b), ks).alias("rest")) for key, ks in zip(_keys(), kinds, strict=True)])
-    rows = lines.select("h", "simhash", F.inline(rest)).join(hot, "key")
-    rows = rows.join(groups.toDF("h", "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    parts = F.array(*[F.xxhash64("key", F.lit(m), F.shiftrightunsigned("rest", PART_BITS * m).bitwiseAND(F.lit((1 << PART_BITS) - 1))) for m in range(MAX_BITS + 1)])
-    rows = materialize(rows.select("h", "simhash", "component", F.explode(parts).alias("part")), "hot-lines")
-    open_parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("part", "members")
-    near = lambda x, y: (F.col(f"{x}.component") != F.col(f"{y}.component")) & (_bits(F.col(f"{x}.simhash"), F.col(f"{y}.simhash")) <= MAX_BITS)
-    found = pairs_within(rows.join(open_parts, "part"), "part", ["h", "simhash", "component"], near)
-    return found.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+    rows = met.where(F.col("members") > SMALL).select("key", "h").join(groups.toDF("h", "component"), "h", "left")
+    rows = materialize(rows.withColumn("component", F.coalesce("component", "h")), "large-keys")
+    apart = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    rows = join_groups(rows, apart.select("key", "n"), "key").withColumnRenamed("n", "members").join(lengths, "h")
 
+    def near(x: str, y: str) -> Column:
+        size = F.when(F.greatest(f"{x}.n", f"{y}.n") > LONG, F.struct(F.col(f"{x}.n").alias("p"), F.col(f"{y}.n").alias("q"))).otherwise(F.struct(F.col(f"{x}.chars").alias("p"), F.col(f"{y}.chars").alias("q")))
+        return (F.col(f"{x}.component") != F.col(f"{y}.component")) & (F.abs(size["p"] - size["q"]) <= F.greatest(size["p"], size["q"]) * MAX_EDIT)
 
-def near_pairs(lines: DataFrame) -> DataFrame:
-    """``lines(h, simhash)``, distinct h, to all distinct pairs (a, b, bits) of lines whose hashes differ in at most MAX_BITS bits."""
-    met = materialize(first_pairs(lines), "line-pairs")
-    alone = lines.select("h", F.col("h").alias("component"))
-    more = hot_pairs(lines, met.where("bits is null").select(F.col("a").alias("key")), alone)
-    sims = lines.select("h", "simhash")
-    more = more.join(sims.toDF("a", "sa"), "a").join(sims.toDF("b", "sb"), "b").select("a", "b", _bits(F.col("sa"), F.col("sb")).alias("bits"))
-    return met.where("bits is not null").union(more).distinct()
+    found = pairs_within(rows, "key", ["h", "component", "n", "chars"], near)
+    return found.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``texts(h, norm)`` whose edit distance is at most MAX_EDIT of the longer line.
+    """The pairs (a, b) of ``texts(h, norm, codes, n, longest)`` whose edit distance is at most MAX_EDIT of the longer line.
 
-    What both lines begin and end with is cut off before, by halving steps: the distance stays the
-    same, and near copies have little left to compare.
+    Beyond LONG words the distance is that of ``codes``, a sign for every word, and looked for within
+    a few words first: near lines then cost no more than their length.  Shorter lines count the signs
+    of their texts; words that differ settle most of them, as each costs at most the longest word and
+    its blank.  A word to spare covers two words with one code.
+    """
+    side = lambda s: texts.select(F.col("h").alias(s), F.struct("norm", "codes", "n", "longest").alias(f"t{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    long = F.greatest("ta.n", "tb.n") > LONG
+    size = lambda t: F.when(long, F.col(f"{t}.n")).otherwise(F.length(f"{t}.norm"))
+    both = both.withColumns({"long": long, "allowed": F.floor(F.greatest(size("ta"), size("tb")) * MAX_EDIT).cast("int")})
+    both = both.where(F.abs(size("ta") - size("tb")) <= F.col("allowed"))
+    both = both.withColumn("swaps", F.when(F.col("long"), F.col("allowed")).otherwise(F.floor(F.col("allowed") / (F.greatest("ta.longest", "tb.longest") + 1)).cast("int") - 1))
+    near = lambda most: F.expr(f"swaps >= 0 and levenshtein(ta.codes, tb.codes, least(greatest(swaps, 0), {most})) >= 0")
+    signs = F.expr("not long and levenshtein(ta.norm, tb.norm, allowed) >= 0")  # -1 beyond the threshold
+    further = lambda most, then: (F.col("swaps") > most) & near(then)
+    return both.where(near(8) | further(8, 128) | further(128, 1 << 30) | signs).select("a", "b")
+
+
+def line_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(h, norm, codes, n, longest) of the lines ``wanted(h, doc, line_no)``, their first occurrences.
+
+    ``codes`` has a sign for every word, from 15 bits of its hash; ``longest`` is the longest word's length.
     """
-    both = pairs.join(texts.toDF("a", "na"), "a").join(texts.toDF("b", "nb"), "b")
-    la, lb = F.length("na"), F.length("nb")
-    both = both.withColumn("allowed", F.floor(F.greatest(la, lb) * MAX_EDIT)).where(F.abs(la - lb) <= F.col("allowed"))
-    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
-    for _ in ("front", "back"):
-        room, na, nb = F.least(F.length("na"), F.length("nb")), F.col("na"), F.col("nb")
-        same = lambda p, n: (p + n <= F.col("room")) & (F.substring(na, p + 1, n) == F.substring(nb, p + 1, n))  # noqa: B023, E731
-        both = both.withColumn("room", room)
-        p = F.aggregate(steps, F.lit(0), lambda p, n: F.when(same(p, n), p + n).otherwise(p))
-        cut = lambda c: F.reverse(F.substring(c, F.col("p") + 1, F.length(c)))
-        both = both.withColumn("p", p).select("a", "b", "allowed", F.struct(cut("na").alias("na"), cut("nb").alias("nb")).alias("cut"))
-        # a generator keeps the optimizer from writing the cut into every later use of it
-        both = both.select("a", "b", "allowed", F.inline(F.array("cut")))
-    # replacing the words that differ, one for one, is a way to get from one to the other: often short enough
-    longer = lambda x, y: F.greatest(F.length(x), F.length(y))
-    wa, wb = F.split("na", " "), F.split("nb", " ")
-    swaps = F.aggregate(F.zip_with(wa, wb, lambda x, y: F.when(x == y, 0).otherwise(longer(x, y))), F.lit(0), lambda s, n: s + n)
-    most = F.when(F.size(wa) == F.size(wb), swaps).otherwise(longer("na", "nb"))
-    within = F.expr("levenshtein(na, nb, cast(allowed as int)) between 0 and allowed")  # -1 beyond the threshold
-    return both.where((most <= F.col("allowed")) | within).select("a", "b")
-
-
-def line_texts(docs: DataFrame, doc_id: str, text: str, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(h, norm) of the lines in ``pairs``, from their first occurrences."""
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(distinct, "h").select("h", F.coalesce("at.doc", F.lit(-1 << 63)).alias("doc"), "at.line_no")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "line_no")).alias("wanted"))
-    some = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1 << 63)).alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
-    some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", normalized(F.get("lines", F.col("w.line_no"))).alias("norm")).where(F.xxhash64("norm") == F.col("h"))
-    texts = materialize(some.dropDuplicates(["h"]), "line-texts")
-    release(docs.sparkSession)
-    return texts
+    none = F.lit(-1 << 63)
+    by_doc = wanted.groupBy(F.coalesce("doc", none).alias("doc")).agg(F.collect_list(F.struct("h", "line_no")).alias("wanted"))
+    some = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
+    # only the wanted lines are normalised
+    some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", normalized(F.get("lines", F.col("w.line_no"))).alias("line"))
+    some = some.select("h", _words(F.col("line")).alias("words")).where(F.xxhash64(_hashes("words")) == F.col("h"))
+    sign = lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF))), 4, "0")
+    codes = F.decode(F.unhex(F.array_join(F.transform("words", sign), "")), "UTF-16BE")
+    return some.select("h", F.array_join("words", " ").alias("norm"), codes.alias("codes"), F.size("words").alias("n"), F.array_max(F.transform("words", F.length)).alias("longest")).dropDuplicates(["h"])
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,55 +211,56 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     first_of = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "line_no")
-    lines = materialize(simhashes(line_rows(docs, doc_id, text)), "lines")
+    lines = materialize(line_hashes(docs, doc_id, text), "lines")
     release(spark)
-    distinct = materialize(lines.groupBy("h").agg(F.min(first_of).alias("at"), F.count(F.lit(1)).alias("times"), F.first("words").alias("words"), F.first("simhash").alias("simhash")), "distinct-lines")
-    hashes = distinct.where(F.col("words") >= MIN_WORDS).select("h", "simhash")
-    met = materialize(first_pairs(hashes), "line-pairs")
+    one = [F.first(c).alias(c) for c in ("n", "short", "s1", "s2")]
+    distinct = materialize(lines.groupBy("h").agg(F.min(first_of).alias("at"), F.count(F.lit(1)).alias("times"), *one), "distinct-lines")
+    met = materialize(shared_keys(distinct), "line-keys")
     release(spark)
-    pairs, hot = met.where("bits is not null"), met.where("bits is null").select(F.col("a").alias("key"))
-    texts = line_texts(docs, doc_id, text, distinct, pairs)
-    # each line with its likeliest partner first; then only pairs that still lie between two groups
-    both = pairs.union(pairs.select("b", "a", "bits"))
-    best = both.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(similar(best, texts), "line-links")
-    found = connected_components(links)
-    rest = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = materialize(links.union(similar(rest, texts)), "line-links")
+    pairs = materialize(first_pairs(met), "line-pairs")
+    large = met.where(F.col("members") > SMALL)
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(large.select("h")).distinct()
+    wanted = wanted.join(distinct, "h").select("h", "at.doc", "at.line_no")
+    texts = materialize(line_texts(docs, doc_id, text, wanted), "line-texts")
+    release(spark)
+    links = materialize(similar(pairs, texts), "line-links")
     groups = connected_components(links)
-    if not hot.isEmpty():
-        missed = materialize(hot_pairs(hashes, hot, groups).join(pairs, ["a", "b"], "left_anti"), "hot-pairs")
-        release(spark)
-        groups = connected_components(links.union(similar(missed, line_texts(docs, doc_id, text, distinct, missed))))
-    groups = groups.toDF("h", "component")
-    firsts = distinct.join(groups, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "at", "times")
-    keep = firsts.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("lines")).where("lines > 1")
-    repeated = materialize(firsts.join(keep, "component").select("h", F.col("keep.doc").alias("kd"), F.col("keep.line_no").alias("kl")), "repeated-lines")
-    gone = lines.select("doc", "line_no", "h").join(repeated, "h").where(~(F.col("doc").eqNullSafe(F.col("kd")) & (F.col("line_no") == F.col("kl"))))
+    missed = materialize(open_pairs(met, groups, texts.select("h", "n", F.length("norm").alias("chars"))), "open-pairs")
+    more = materialize(similar(missed.join(pairs, ["a", "b"], "left_anti"), texts), "line-links")
+    release(spark)
+    if not more.isEmpty():
+        groups = connected_components(links.union(more))
+    firsts = distinct.join(groups.toDF("h", "component"), "h", "left").where(F.col("component").isNotNull() | (F.col("times") > 1))
+    firsts = materialize(firsts.select("h", F.coalesce("component", "h").alias("component"), "at", "times"), "first-lines")
+    keep = firsts.groupBy("component").agg(F.min("at").alias("keep"), F.count(F.lit(1)).alias("n"))
+    repeated = join_groups(firsts.select("h", "component", "times"), keep, "component")
+    repeated = materialize(repeated.select("h", F.col("times").alias("n"), F.col("keep.doc").alias("kd"), F.col("keep.line_no").alias("kl")), "repeated-lines")
+    gone = join_groups(lines.select("doc", "line_no", "h"), repeated, "h").where(~(F.col("doc").eqNullSafe(F.col("kd")) & (F.col("line_no") == F.col("kl"))))
     return gone.groupBy("doc").agg(F.collect_set("line_no").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines and n_removed added.
 
-    Null texts stay null (no lines); empty texts have one line, which stays.  Rows that share an id
-    (or have none) count as one document, so their equal lines at equal places stay or go together.
-    An empty table gives an empty result.  Columns of the input named like the output's are replaced.
+    Null texts stay null (no lines); empty texts have one line, which stays; texts and lines of any
+    length count whole.  Of equal lines, and of ties in any respect, the earliest by document and
+    place stays.  Rows that share an id (or have none) count as one document, so their equal lines at
+    equal places stay or go together.  An empty table gives an empty result.  Columns of the input
+    named n_lines and n_removed are replaced; all others stay, whatever their names.
     """
-    gone = duplicate_lines(docs, doc_id, text).toDF("_doc", "_gone")
-    df = docs.drop("n_lines", "n_removed").join(gone, F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
-    df = df.withColumn("_lines", F.split(text, "\n"))
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.array_join(F.transform(F.array_sort(F.array_except(every, F.col("_gone"))), lambda i: F.get(F.col("_lines"), i)), "\n")
+    doc, drop, lines = fresh_names(docs, "doc", "drop", "lines")
+    gone = duplicate_lines(docs, doc_id, text).toDF(doc, drop)
+    df = docs.drop("n_lines", "n_removed").join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(doc)), "left")
+    df = df.withColumn(lines, F.split(text, "\n"))
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.array_join(F.transform(F.array_sort(F.array_except(every, F.col(drop))), lambda i: F.get(F.col(lines), i)), "\n")
     return df.withColumns(
         {
-            "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
+            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size(drop), F.lit(0)).cast("long"),
+            text: F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept),
         }
-    ).drop("_doc", "_gone", "_lines")
+    ).drop(doc, drop, lines)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
