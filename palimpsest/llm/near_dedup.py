@@ -1,17 +1,21 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each of TREES independent trees branches the documents by their minwise tokens: a document's node at
-depth d is named by its first d minwise shingles under the tree's hash functions, so similar documents
-take the same path often and others part early.  Nodes of at most SMALL documents are compared
-exhaustively, larger ones branch further; what is still large at the last depth is a family, and its
-documents are compared with two documents drawn from the node, others in every tree.  That joins
-close copies at little cost; then all pairs of the nodes still large at depth EXACT that lie between
-two components are compared as well.  So every pair that shares a node at that depth is met: a pair
-at the threshold misses all trees with a chance under 0.002, at 0.9 under 1e-6.
-
-Equal sets are one document throughout.  Candidates first pass a 128-bit sketch (it errs at five
-standard deviations from the threshold), then the full sets are compared, first each document
-with its likeliest partner, then all pairs that still lie between two components.
+Each of TREES independent trees branches the documents by their minwise tokens: a document's node is
+named by the minwise shingles chosen on the way to it, so similar documents take the same path often and
+others part early.  Nodes of at most SMALL documents are compared exhaustively, larger ones branch
+further: by three tokens, then two, then on two branches by three more each.  A pair at the
+threshold shares a node of the last level in some tree but for a chance of about 0.003, and a node of the
+second level but for 0.0004, which counts where nodes are small by then.
+
+What is still large at the last level is a family.  Its documents are compared with two drawn from the
+node, others in every tree, which joins close copies at little cost.  Families that share documents are then
+taken as one, and where such a family holds several components, every document outside its largest
+one is compared with all others, block against block on the full sets, within tasks: no pair is left out,
+none becomes a row unless it is a link, and a family whose members stay apart costs the square of its size.
+
+Equal sets are one document throughout.  Candidates of small nodes first pass a 128-bit sketch (it errs at
+five standard deviations from the threshold), then the full sets are compared, first each document with
+its likeliest partner, then all pairs that still lie between two components.
 """
 
 from __future__ import annotations
@@ -24,18 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize, pairs_within, release, shingle_hashes, word_hashes
+from palimpsest.llm.common import connected_components, fresh_names, join_groups, materialize, release, shingle_hashes, word_hashes
 
-TREES, DEPTHS = 20, (3, 5, 7)
-DEPTH = DEPTHS[-1]
-EXACT = 5
+#: A tree's path has PATH tokens of its own; the two last branches take the first BRANCH tokens of the trees these many places on.
+TREES, PATH, BRANCH, OTHERS = 20, 5, 3, (7, 11)
 SMALL = 24
 #: Differing sketch bits of 128: a pair at similarity 0.8 differs in 12.8, standard deviation 3.4.
-SKETCH_BITS = 30
+HASHES, SKETCH_BITS = 128, 30
+#: Sets of a block in a family's comparison; a task holds two blocks.
+BLOCK_BYTES = 4_000_000
 
 _rng = np.random.default_rng(20240607)
-_MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+_MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _FOLD = 1024
 
 
@@ -61,8 +66,8 @@ def _signatures(width: int):
                     continue
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 least = min_hashes(grams)
-                sigs.append((least >> np.uint64(32)).astype("<u2").tobytes())
-                bits = np.packbits((least[:128] >> np.uint64(50) & np.uint64(1)).astype(np.uint8)).view("<i8")
+                sigs.append((least[: TREES * PATH] >> np.uint64(32)).astype("<u2").tobytes())
+                bits = np.packbits((least >> np.uint64(50) & np.uint64(1)).astype(np.uint8)).view("<i8")
                 one.append(int(bits[0]))
                 two.append(int(bits[1]))
             yield pa.RecordBatch.from_arrays(
@@ -78,19 +83,12 @@ def _sets(width: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                out = [(np.unique(shingle_hashes(word_hashes(t.as_py()), width)) >> np.uint64(24)).astype("<u8") for t in part.column(1)]
-                raw = [np.ascontiguousarray(np.unique(g)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for g in out]  # 40 bits of each
+                raw = [np.unique(shingle_hashes(word_hashes(t.as_py()), width)).astype("<u8").tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["doc", "grams"])
 
     return run
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    cells = np.zeros((len(raw) // 5, 8), np.uint8)
-    cells[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return cells.view("<u8").ravel()
-
-
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -98,8 +96,8 @@ def _confirm(percent: int):
             a, b = [], []
             for x, y, gx, gy in zip(*batch.columns, strict=True):
                 if x.as_py() != last:
-                    last, left = x.as_py(), _unpack(gx.as_py())
-                right = _unpack(gy.as_py())
+                    last, left = x.as_py(), np.frombuffer(gx.as_py(), "<u8")
+                right = np.frombuffer(gy.as_py(), "<u8")
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * both >= percent * (len(left) + len(right) - both):
                     a.append(last)
@@ -113,63 +111,116 @@ def _differ(x: Column, y: Column) -> Column:
     return F.bit_count(x["b1"].bitwiseXOR(y["b1"])) + F.bit_count(x["b2"].bitwiseXOR(y["b2"]))
 
 
-def _node(depth: int) -> Column:
-    return F.xxhash64(F.lit(depth), F.col("tree"), F.substring("path", 1, 2 * depth))
+def _tokens(tree: Column, count: int) -> Column:
+    return F.substring(F.col("sig"), tree * (2 * PATH) + 1, F.lit(2 * count))
+
+
+def _levels() -> list[Column]:
+    """The nodes of each level, from tree and path: one, one, and two."""
+    path = lambda at, n: F.substring("path", 2 * at + 1, 2 * n)
+    own = path(0, PATH)
+    branches = [F.xxhash64(F.lit(2 + i), "tree", own, path(PATH + BRANCH * i, BRANCH)) for i in range(len(OTHERS))]
+    return [F.xxhash64(F.lit(0), "tree", path(0, BRANCH)), F.xxhash64(F.lit(1), "tree", own), F.explode(F.array(*branches))]
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``reps(doc, sig, b1, b2)``, distinct sets, to distinct pairs (a, b, differ) with a < b, and what they leave open.
+def candidates(reps: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """``reps(doc, sig, b1, b2)``, distinct sets, at most ``number``, to distinct pairs (a, b, differ) with a < b, and what they leave open.
 
-    Open are the rows (doc, b1, b2, node, members) of nodes still large at depth EXACT.
+    Open are the rows (doc, node) of nodes still large at the last level.
     """
-    path = F.substring(F.col("sig"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
-    active = reps.select("doc", "b1", "b2", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("doc", "b1", "b2", "tree", path.alias("path"))
+    rows = reps.select("doc", "b1", "b2", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    path = F.concat(_tokens(F.col("tree"), PATH), *[_tokens((F.col("tree") + k) % TREES, BRANCH) for k in OTHERS])
+    active = rows.select("doc", "b1", "b2", "tree", path.alias("path"))
     pairs = None
-    for depth in DEPTHS:
-        rows = active.withColumn("node", _node(depth))
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        rows = materialize(rows.join(counts, "node"), "nodes")
-        small = rows.where(F.col("members") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("doc", "b1", "b2")).alias("l"))
+    for level, node in enumerate(_levels()):
+        rows = active.withColumn("node", node)
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = materialize(join_groups(rows, counts, "node", number * TREES * (len(OTHERS) if level == 2 else 1)), "nodes")
+        small = rows.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("doc", "b1", "b2")).alias("l"))
         near = lambda x, i: F.transform(
             F.filter(F.slice("l", i + 2, F.lit(SMALL)), lambda y: _differ(x, y) <= SKETCH_BITS),
             lambda y: F.struct(F.least(x["doc"], y["doc"]).alias("a"), F.greatest(x["doc"], y["doc"]).alias("b"), _differ(x, y).alias("differ")),
         )
         own = small.select(F.explode(F.flatten(F.transform("l", near))).alias("p")).select("p.*")
         pairs = own if pairs is None else pairs.union(own)
-        active = rows.where(F.col("members") > SMALL).select("doc", "b1", "b2", "tree", "path", "node")
-        if depth == EXACT:
-            large = rows.where(F.col("members") > SMALL).select("doc", "b1", "b2", "node", "members")
-        if depth != DEPTH:
-            active = active.drop("node")
+        active = rows.where(F.col("n") > SMALL).drop("node", "n")
+    large = rows.where(F.col("n") > SMALL).select("doc", "b1", "b2", "node")
     member = F.struct("doc", "b1", "b2")
-    drawn = active.groupBy("node").agg(F.min_by(member, F.xxhash64("node", "doc")).alias("x"), F.max_by(member, F.xxhash64("node", "doc")).alias("y"))
-    met = active.join(drawn, "node").select(member.alias("m"), F.explode(F.array("x", "y")).alias("o")).where("m.doc <> o.doc")
+    drawn = large.groupBy("node").agg(F.min_by(member, F.xxhash64("node", "doc")).alias("x"), F.max_by(member, F.xxhash64("node", "doc")).alias("y"), F.count(F.lit(1)).alias("n"))
+    met = join_groups(large, drawn, "node").select(member.alias("m"), F.explode(F.array("x", "y")).alias("o")).where("m.doc <> o.doc")
     met = met.select(F.least("m.doc", "o.doc").alias("a"), F.greatest("m.doc", "o.doc").alias("b"), _differ(F.col("m"), F.col("o")).alias("differ")).where(F.col("differ") <= SKETCH_BITS)
-    return pairs.union(met).groupBy("a", "b").agg(F.min("differ").alias("differ")), large
+    return pairs.union(met).groupBy("a", "b").agg(F.min("differ").alias("differ")), large.select("doc", "node")
 
 
-def large_node_pairs(large: DataFrame, sizes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) in large nodes that lie between two components of ``found`` and may be similar enough.
+def families(large: DataFrame, found: DataFrame) -> DataFrame:
+    """``large(doc, node)`` to (doc, component, family, minor) of the families with several components of ``found``.
 
-    ``sizes(doc, n)`` are sizes of the sets: sets of too different sizes can't be.
+    Nodes that share documents are one family; ``minor`` are the documents outside the family's largest component.
     """
     rows = large.join(found.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    nodes = rows.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node")
-    rows = materialize(rows.join(nodes, "node").join(sizes, "doc"), "open-nodes")
+    hubs = rows.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("least < most")
+    rows = materialize(join_groups(rows, hubs.select("node", "hub", "n"), "node").select("doc", "component", "hub"), "open-nodes")
+    joined = connected_components(rows.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    members = materialize(rows.select("doc", "component").distinct().join(joined.toDF("doc", "family"), "doc"), "families")
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.sum("m").alias("n"))
+    return join_groups(members, sizes, "family").select("doc", "component", "family", (F.col("component") != F.col("major")).alias("minor"))
+
+
+def _compare(percent: int):
+    """One block of minor documents against one of their family: links that join components not joined here before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, groups, left = (table.column(c).to_numpy() for c in ("doc", "component", "left"))
+        grams = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
+        others = np.flatnonzero(~left)
+        links: list[tuple[int, int]] = []
+        if len(others):
+            size = np.array([len(grams[i]) for i in others])
+            known, place = np.unique(np.concatenate([grams[i] for i in others]), return_inverse=True)
+            starts, theirs = np.cumsum(size) - size, groups[others]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for i in np.flatnonzero(left):
+                at = np.searchsorted(known, grams[i])
+                at = at[at < len(known)]
+                own = np.zeros(len(known), np.int32)
+                own[at[known[at] == grams[i][: len(at)]]] = 1
+                both = np.add.reduceat(own[place], starts)
+                near = (100 * both >= percent * (len(grams[i]) + size - both)) & (theirs != groups[i])
+                for j in np.flatnonzero(near):
+                    x, y = root(int(groups[i])), root(int(theirs[j]))
+                    if x != y:
+                        parent[y] = x
+                        links.append((int(docs[i]), int(docs[others[j]])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    def near(x: str, y: str) -> Column:
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        sized = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-        return (F.col(f"{x}.component") != F.col(f"{y}.component")) & sized & (_differ(F.col(x), F.col(y)) <= SKETCH_BITS)
-
-    met = pairs_within(rows, "node", ["doc", "b1", "b2", "n", "component"], near)
-    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    return run
 
 
-def _candidate_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Full sets of the documents in ``pairs``; the texts move once, whatever the size of the pairs."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    found = texts.join(wanted.hint("merge"), "doc", "left_semi")
+def family_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each family: ``members`` as families() gives them."""
+    sets = _candidate_sets(members.select("doc"), texts, width)
+    rows = materialize(members.join(sets, "doc").withColumn("bytes", F.octet_length("grams").cast("long")), "family-sets")
+    blocks = lambda b: F.greatest(F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    parts = rows.groupBy("family").agg(blocks(F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0))).alias("ps"), blocks(F.sum("bytes")).alias("qs"), F.count(F.lit(1)).alias("n"))
+    rows = join_groups(rows, parts, "family")
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    told = ["doc", "component", "grams"]
+    left = rows.where("minor").select("family", own("ps").alias("p"), each("qs").alias("q"), F.lit(True).alias("left"), *told)
+    right = rows.select("family", own("qs").alias("q"), each("ps").alias("p"), F.lit(False).alias("left"), *told)
+    return left.unionByName(right).groupBy("family", "p", "q").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _candidate_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Full sets of ``docs(doc)``; the texts move once, whatever the number of documents."""
+    found = texts.join(docs.distinct().hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
     return materialize(found.mapInArrow(_sets(width), "doc long, grams binary"), "sets")
 
 
@@ -183,7 +234,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Sets hold the distinct shingles of ``width`` words; a text of fewer words is one shingle, one
-    without words (or null) has an empty set and is linked with nothing.  Documents are linked if
+    without words (or null) has an empty set and is linked with nothing; texts of any length count whole.  Documents are linked if
     100 * intersection >= percent * union; component_id is the least id that links lead to; kept
     marks the document with that id.  Rows that share an id are one document for linking; a null
     id is linked with nothing and kept.  An empty table gives an empty result.
@@ -192,14 +243,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     sig = materialize(texts.mapInArrow(_signatures(width), "doc long, n long, digest binary, sig binary, b1 long, b2 long"), "signatures")
     linked = sig.where("digest is not null and doc is not null")
-    reps = linked.groupBy("digest").agg(F.min("doc").alias("rep"))
-    same = linked.select("digest", "doc").join(reps, "digest")
-    firsts = linked.join(reps.select(F.col("rep").alias("doc"), F.col("digest").alias("d")), "doc", "left_semi").dropDuplicates(["digest"])
-    firsts = firsts.join(reps, "digest").select(F.col("rep").alias("doc"), "n", "sig", "b1", "b2")
-    pairs, large = candidates(firsts)
+    reps = materialize(linked.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "sets-once")
+    same = join_groups(linked.select("digest", "doc").distinct(), reps, "digest")
+    firsts = linked.join(reps.select("digest", F.col("rep").alias("doc")), ["digest", "doc"], "left_semi").dropDuplicates(["digest"]).select("doc", "sig", "b1", "b2")
+    pairs, large = candidates(firsts, sig.count())
     pairs = materialize(pairs, "pairs")
     release(spark)
-    sets = _candidate_sets(pairs, texts.where("doc is not null"), width)
+    texts = texts.where("doc is not null")
+    sets = _candidate_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), texts, width)
     release(spark)
     # each document's likeliest partner first: most links within a family follow from these
     both = pairs.select("a", "b", "differ").union(pairs.select(F.col("b"), F.col("a"), F.col("differ")))
@@ -210,14 +261,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     a, b = found.toDF("a", "ca"), found.toDF("b", "cb")
     rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
     rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    edges = edges.union(_links(rest, sets, percent))
+    edges = materialize(edges.union(_links(rest, sets, percent)), "links")
     if not large.isEmpty():
-        edges = materialize(edges, "links")
-        missed = large_node_pairs(large, firsts.select("doc", "n"), connected_components(edges), percent)
-        missed = materialize(missed.join(pairs, ["a", "b"], "left_anti"), "missed")
         release(spark)
-        sets = _candidate_sets(missed, texts.where("doc is not null"), width)
-        edges = edges.union(_links(missed, sets, percent))
+        edges = edges.union(family_links(families(large, connected_components(edges)), texts, width, percent))
     edges = edges.union(same.where("doc <> rep").select(F.col("rep"), F.col("doc")))
     found = connected_components(edges)
     out = sig.select("doc", "n").join(found.toDF("doc", "component"), "doc", "left")
@@ -226,9 +273,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay.  Rows with a null id stay."""
-    gone = components(docs, doc_id, text, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component; all columns stay, whatever their names.
+
+    Of a component the smallest id stays, with all rows that have it; rows with a null id stay.
+    """
+    (gone,) = fresh_names(docs, "gone")
+    found = components(docs, doc_id, text, width, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(doc_id).cast("long") == F.col(gone), "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+from palimpsest.llm import common
 from palimpsest.llm import near_dedup as nd
 from palimpsest.llm.common import connected_components
 
@@ -77,11 +78,56 @@ def test_components(spark):
     assert got == {n: want[n] for n in nodes}
 
 
-def test_template_family(spark):
+def template_rows(twins):
     # 85 words of a template and 15 own: partners share four of those (89 of 111), all others are at 85 of 115
     template = [f"t{i}" for i in range(85)]
-    rows = []
-    for i in range(400):
-        rows += [(2 * i + k, " ".join(template + [f"p{i}x{j}" for j in range(4)] + [f"o{i}x{k}x{j}" for j in range(11)]), None, None) for k in (0, 1)]
-    got = {r.doc_id: r.component_id for r in nd.components(spark.createDataFrame(rows, SCHEMA), width=1).collect()}
-    assert got == {d: d - d % 2 for d in range(800)}
+    return [(2 * i + k, " ".join(template + [f"p{i}x{j}" for j in range(4)] + [f"o{i}x{k}x{j}" for j in range(11)]), None, None) for i in range(twins) for k in (0, 1)]
+
+
+def test_recall(spark):
+    # a large family, and pairs at the threshold, each alone: 40 words in common and 5 own
+    rng = random.Random(6)
+    rows = template_rows(1000)
+    for i in range(1000, 2000):
+        shared = [f"s{rng.randrange(10**9)}" for _ in range(40)]
+        rows += [(2 * i + k, " ".join(shared + [f"q{i}x{k}x{j}" for j in range(5)]), None, None) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in nd.components(spark.createDataFrame(rows, SCHEMA).repartition(4), width=1).collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    missed = [i for i in range(2000) if got[2 * i + 1] != 2 * i]
+    assert sum(i < 1000 for i in missed) <= 10 and sum(i >= 1000 for i in missed) <= 10
+
+
+def test_family_comparison_finds_every_component(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = {d: " ".join(rng.sample(words, 45)) for d in range(120)}
+    sets = {d: shingles(t, 1) for d, t in texts.items()}
+    edges = [(a, b) for a in texts for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(set(union(texts, edges).values())) not in (1, 120)
+    members = spark.createDataFrame([(d, d, 0, True) for d in texts], "doc long, component long, family long, minor boolean")
+    old, nd.BLOCK_BYTES = nd.BLOCK_BYTES, 9000
+    try:
+        links = nd.family_links(members, spark.createDataFrame(list(texts.items()), "doc long, text string"), 1, 80).collect()
+    finally:
+        nd.BLOCK_BYTES = old
+    assert union(texts, [(r.a, r.b) for r in links]) == union(texts, edges)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, _gone string")
+    assert [tuple(r) for r in nd.drop_near_duplicates(df).collect()] == [rows[0]]
+
+
+def test_join_groups(spark):
+    rows = [(0 if i % 3 else i, i) for i in range(600)]
+    counts = {}
+    for k, _ in rows:
+        counts[k] = counts.get(k, 0) + 1
+    groups = spark.createDataFrame([(k, n, k * 2) for k, n in counts.items()], "k long, n long, v long")
+    old, common.HEAVY, common.ONE_TASK = (common.HEAVY, common.ONE_TASK), 10, 0
+    try:
+        got = sorted((r.k, r.i, r.v) for r in common.join_groups(spark.createDataFrame(rows, "k long, i long"), groups, "k").collect())
+    finally:
+        common.HEAVY, common.ONE_TASK = old
+    assert got == sorted((k, i, 2 * k) for k, i in rows)
