@@ -115,7 +115,7 @@ def similarity_matrix(left: list[str], right: list[str], left_samples: list, rig
 
 
 def align_by_similarity(sim: np.ndarray) -> list[tuple[int | None, int | None]]:
-    """Global alignment, filled by anti-diagonals; on ties a pair, then a gap after, comes first."""
+    """Global alignment, filled by anti-diagonals; on ties a pair, then a unit of the before side alone, is taken."""
     n, m = sim.shape
     score = np.zeros((n + 1, m + 1))
     score[:, 0], score[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)

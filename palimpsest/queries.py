@@ -52,11 +52,9 @@ pairs as (select distinct a.d as before, b.d as after from lines a join few usin
 PRINTS = r"""
 prints as (
   select doc_id, unit_index, kind || chr(0) || case when cells is null then 'p' || length(text) || ':' || text
-    else 't' || len(cells) || array_to_string(list_transform(cells, lambda c: length(c) || ':' || c), '') end as print
+    else 't' || len(cells) || ':' || array_to_string(list_transform(cells, lambda c: length(c) || ':' || c), '') end as print
   from units
 )"""
-# the fingerprint's cell part has a colon before the cells
-PRINTS = PRINTS.replace("'t' || len(cells) ||", "'t' || len(cells) || ':' ||")
 SIDES = r"""
 sided as (
   select before || '-' || after as pair_id, 'before' as side, u.* from pairs join units u on u.doc_id = before
@@ -131,7 +129,7 @@ def format_detection(spark, sf):
     return _read(spark, sf, "pages").select("page_id", tx.format_of(F.col("url")).alias("format"))
 
 
-@query("select doc_id, case when regexp_full_match(lang || '_X', '[A-Z0-9_]{1,64}') then lang || '_X' else 'COMPARE_FAILED' end as code, left(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), 240) as message from documents".replace("\\\\", "\\"))
+@query("select doc_id, case when regexp_full_match(lang || '_X', '[A-Z0-9_]{1,64}') then lang || '_X' else 'COMPARE_FAILED' end as code, left(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), 240) as message from documents")
 def safe_error(spark, sf):
     """Error envelopes: unknown codes are replaced, messages bounded."""
     docs = _read(spark, sf, "documents")
@@ -236,13 +234,48 @@ def ambiguous_repeats(spark, sf):
 @query(f"""with {_SIDED_PRINTS} select b.pair_id, b.unit_index as before_idx, a.unit_index as after_idx from one b join one a on a.pair_id = b.pair_id and a.print = b.print
 where b.side = 'before' and a.side = 'after' and a.n = 1 and b.n = 1 and a.unit_index <> b.unit_index""")
 def exact_move_candidates(spark, sf):
-    """Unique fingerprints at another place; the unaligned set is taken to be all units whose index differs."""
-    units = _revision_units(spark, sf)
-    none = F.lit(None).cast("int")
-    gone = units.where("side = 'before'").select("pair_id", F.col("unit_index").alias("row_seq"), F.col("unit_index").alias("before_idx"), none.alias("after_idx"), F.lit("removed").alias("status"))
-    come = units.where("side = 'after'").select("pair_id", F.col("unit_index").alias("row_seq"), none.alias("before_idx"), F.col("unit_index").alias("after_idx"), F.lit("added").alias("status"))
-    moves = mv.exact_moves(gone.union(come), units)
-    return moves.where("from_idx <> to_idx").select("pair_id", F.col("from_idx").alias("before_idx"), F.col("to_idx").alias("after_idx"))
+    """Unique fingerprints at another place, with every unit in a row of its own."""
+    units = _revision_units(spark, sf).select("pair_id", "side", "unit_index", "kind", "text", "cells", F.col("unit_index").alias("row_seq"), F.lit(True).alias("alone"))
+    return mv.exact_moves(units).where("from_idx <> to_idx").select("pair_id", F.col("from_idx").alias("before_idx"), F.col("to_idx").alias("after_idx"))
+
+
+_SHUFFLED = """l as (
+  select l_orderkey::varchar as pair_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1)::int as i,
+    (count(*) over (partition by l_orderkey))::int as n, [l_returnflag, l_linestatus, l_quantity::int::varchar] as cells from lineitem),
+r as (
+  select pair_id, i + 1 as row_seq, i as b, case when i % 3 <> 1 then n + i end as a, cells from l
+  union all select pair_id, n + i + 1, null, 2 * n + i, cells from l where i % 3 = 1 and i % 2 = 1),
+p as (select *, 't3:' || array_to_string(list_transform(cells, lambda c: length(c) || ':' || c), '') as print from r),
+one as (select pair_id, print, max(row_seq) filter (a is null) as gone, max(b) filter (a is null) as old, max(row_seq) filter (b is null) as come, max(a) filter (b is null) as new
+  from p group by 1, 2 having count(b) = 1 and count(a) = 1 and gone is not null and come is not null),
+m as (select *, 'move-' || printf('%08x', list_reduce(list_prepend(2166136261::bigint, list_concat(list_transform(string_split('table-row', ''), lambda c: unicode(c)::bigint), [0::bigint],
+  list_transform(string_split(print, ''), lambda c: unicode(c)::bigint))), lambda h, u: (xor(h, u) * 16777619) & 4294967295)) || '-' || old || '-' || new as move_id from one)"""
+
+
+@query(f"""with {_SHUFFLED} select r.pair_id, r.row_seq, coalesce(m.move_id, 'block-' || r.row_seq) as row_id, case when m.move_id is not null then 'moved' when r.a is null then 'removed' when r.b is null then 'added' else 'unchanged' end as status,
+  coalesce(m.old, r.b) as before_idx, r.a as after_idx, m.move_id, len(r.cells)::int as cells, case when m.move_id is null and (r.a is null or r.b is null) then 3 else 0 end as changed_cells
+from r left join m on m.pair_id = r.pair_id and m.come = r.row_seq where not exists (select 1 from m g where g.pair_id = r.pair_id and g.gone = r.row_seq)""")
+def move_reclassification(spark, sf):
+    """Orders as documents of table rows: every third item is removed at its place, the first of those added at the end; moves by text."""
+    li = _read(spark, sf, "lineitem")
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    cells = F.array("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string"))
+    items = li.select(F.col("l_orderkey").cast("string").alias("pair_id"), (F.row_number().over(own) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).cast("int").alias("n"), cells.alias("c"))
+    i, n, none = F.col("i"), F.col("n"), F.lit(None).cast("int")
+    place = lambda seq, b, a: F.struct(seq.alias("row_seq"), b.alias("before_idx"), a.alias("after_idx"))
+    first = place(i + 1, i, F.when(i % 3 != 1, n + i))
+    rows = items.select("pair_id", "c", F.inline(F.when((i % 3 == 1) & (i % 2 == 1), F.array(first, place(n + i + 1, none, 2 * n + i))).otherwise(F.array(first))))
+    left, right = F.col("before_idx").isNotNull(), F.col("after_idx").isNotNull()
+    word = F.when(left & right, "equal").when(left, "removed").otherwise("added")
+    cell = lambda x, i: F.struct(F.when(left, i).alias("before_cell"), F.when(right, i).alias("after_cell"), F.array(F.struct(word.alias("kind"), x.alias("text"))).alias("changes"))
+    line = F.array_join("c", "\t")
+    rows = rows.select(
+        "pair_id", "row_seq", F.concat(F.lit("block-"), F.col("row_seq").cast("string")).alias("row_id"), F.when(left & right, "unchanged").when(left, "removed").otherwise("added").alias("status"), "before_idx", "after_idx",
+        *[F.when(has, x).alias(f"{s}_{name}") for s, has in (("before", left), ("after", right)) for name, x in (("kind", F.lit("table-row")), ("text", line), ("cells", F.col("c")))],
+        df_.single_change(line, "equal").alias("changes"), F.transform("c", cell).alias("cell_changes"), F.lit(None).cast("string").alias("move_id"),
+    )
+    moved = mv.reclassify_moves(rows)
+    return moved.select("pair_id", "row_seq", "row_id", "status", "before_idx", "after_idx", "move_id", F.size("cell_changes").alias("cells"), df_.changed_cells(F.col("cell_changes")).alias("changed_cells"))
 
 
 @query("select doc_id, case when trim(regexp_replace(text, '[\\s\\p{Z}]', '', 'g')) = '' then 'none' else 'pdf-text' end as source from documents")

@@ -19,10 +19,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def find_bytes(content: Column, pattern: bytes, within: int | None = None) -> Column:
     """Zero-based place of a byte pattern in the first ``within`` bytes, -1 if it isn't there."""
-    where = F.hex(F.substring(content, 1, within) if within else content)
-    at = F.instr(where, pattern.hex().upper())
-    # a match at an odd hex digit is none; byte patterns here can't overlap themselves by half a byte
-    return F.when((at > 0) & (at % 2 == 1), ((at - 1) / 2).cast("int")).otherwise(F.lit(-1))
+    # in ISO-8859-1 each byte is one character
+    where = F.decode(F.substring(content, 1, within) if within else content, "ISO-8859-1")
+    return F.instr(where, pattern.decode("latin-1")) - 1
 
 
 def _error(code: str, message: str) -> Column:

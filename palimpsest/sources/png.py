@@ -41,13 +41,13 @@ def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
         kind, line, up = row[0], row[1:].copy(), out[y]
         if kind == 2:
             line += up
-        elif kind in (1, 3, 4):
+        elif kind == 1:  # each sample adds up along the row
+            line = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kind in (3, 4):
             for x in range(len(line)):
                 left = int(line[x - step]) if x >= step else 0
                 above, corner = int(up[x]), int(up[x - step]) if x >= step else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
+                if kind == 3:
                     guess = (left + above) // 2
                 else:
                     p = left + above - corner

@@ -42,6 +42,7 @@ def test_statuses(spark):
             "same": (["a", "b", ""], ["a", "b", ""]),
             "cells": ([["a", "b"]], [["a", "b", ""]]),
             "kinds": (["same words here"], [["same words here"]]),
+            "row": ([["x", "y"], "p one", "p two"], ["p one", "p two", ["x", "y"]]),
         },
     )
     got = {p: [(r.before_idx, r.after_idx, r.status) for r in rs] for p, rs in rows.items()}
@@ -56,6 +57,9 @@ def test_statuses(spark):
     assert res["same"].outcome == "identical" and res["same"].first_change is None
     assert got["cells"] == [(0, 0, "changed")] and rows["cells"][0].cell_changes[2].before_cell is None
     assert [s for *_, s in got["kinds"]] == ["removed", "added"]
+    assert got["row"] == [(1, 0, "unchanged"), (2, 1, "unchanged"), (0, 2, "moved")]
+    row = rows["row"][2]
+    assert row.row_id == row.move_id and [(c.before_cell, c.after_cell, [tuple(x) for x in c.changes]) for c in row.cell_changes] == [(0, 0, [("equal", "x")]), (1, 1, [("equal", "y")])]
     assert res["move"].outcome == "changed" and res["insert"].first_change == 2
     for r in rows["change"]:
         assert r.row_id == f"block-{r.row_seq}"

@@ -150,18 +150,73 @@ def test_pdf(spark):
     assert [(r.name, r.error) for r in errors.collect()] == [("bad", "PDF_DECODE_FAILED")]
 
 
+def png_page(*shape, dark=0):
+    image = np.full((*shape, 4), 255, np.uint8)
+    image[: dark or 0, :, :3] = 0
+    return png.encode_png(image)
+
+
+IMAGES = "pair_id string, side string, unit_index int, png binary"
+
+
 def test_ocr(spark):
     page = lambda side, i, t: ("p", side, i, "page", None, None, t, None, [10] * 4)
     rows = compare.compare_pages(spark.createDataFrame([page("before", 0, ""), page("after", 0, ""), page("before", 1, "text here"), page("after", 1, "text here")], UNIT)).rows
-    images = spark.createDataFrame([("p", s, 0, s.encode()) for s in ("before", "after")], "pair_id string, side string, unit_index int, png binary")
+    small, wide = png_page(2, 2), png_page(2, 3)
+    images = spark.createDataFrame([("p", "before", 0, small), ("p", "after", 0, wide)], IMAGES)
     options = Options(ocr_enabled=True, ocr_before_pages=[0, 1], ocr_after_pages=[0])
-    out, told = ocr.enrich(rows, images, options, lambda raw: ("1250" if raw == b"before" else "1350\r\n", 95.0 if raw == b"before" else 20.0))
+    out, told, failed = ocr.enrich(rows, images, options, lambda raw: ("1250" if raw == small else "1350\r\n", 95.0 if raw == small else 20.0))
     got = {r.row_seq: r for r in out.collect()}
     assert (got[1].before_text, got[1].after_text, got[1].status, got[1].before_evidence, got[1].after_confidence) == ("1250", "1350\n", "changed", "ocr", 20.0)
-    assert got[2].status == "unchanged"
-    assert told.first().warnings == ["OCR_HEURISTIC", "OCR_LOW_CONFIDENCE after 0", "OCR_SKIPPED before 1"] and told.first().error is None
-    _, told = ocr.enrich(rows, images, options, None)
-    assert told.first().error == "OCR_UNAVAILABLE"
+    assert got[2].status == "unchanged" and failed.count() == 0
+    assert told.first().warnings == ["OCR_HEURISTIC", "OCR_LOW_CONFIDENCE after 1", "OCR_SKIPPED before 2"]
+
+    def error(engine, images=images, **more):
+        found = ocr.enrich(rows, images, Options(ocr_enabled=True, **({"ocr_before_pages": [0]} | more)), engine)[2].collect()
+        return [r.error for r in found]
+
+    assert error(None) == ["OCR_UNAVAILABLE"]
+    assert error(lambda raw: 1 / 0) == ["OCR_FAILED"]
+    assert error(lambda raw: ("x" * 100_001, 90)) == ["TEXT_LIMIT_EXCEEDED"]
+    assert error(lambda raw: ("x", 90), ocr_before_pages=[5]) == ["INVALID_INPUT"]
+    assert error(lambda raw: ("x", 90), images.where("side = 'after'")) == ["OCR_FAILED"]
+
+
+def test_pdf_plan(spark):
+    """OCR text takes part in a move, the moved page's pixels are compared, a pair past a limit is an error."""
+    page = lambda pair, side, i, t: (pair, side, i, "page", None, None, t, None, None)
+    units = [page("p", "before", 0, ""), page("p", "before", 1, "alpha one two"), page("p", "before", 2, "gamma three four")]
+    units += [page("p", "after", 0, "alpha one two"), page("p", "after", 1, "gamma three four"), page("p", "after", 2, "read by the engine")]
+    units += [page("big", s, i, "x" * 99_000) for s in ("before", "after") for i in range(11)]
+    shots = {("before", 0): png_page(4, 4), ("before", 1): png_page(4, 4, dark=1), ("before", 2): png_page(4, 4, dark=2), ("after", 0): png_page(4, 4, dark=1), ("after", 1): png_page(4, 4, dark=2), ("after", 2): png_page(4, 4, dark=3)}
+    images = [("p", s, i, raw) for (s, i), raw in shots.items()] + [("big", s, i, png_page(1, 1)) for s in ("before", "after") for i in range(11)]
+    options = Options(ocr_enabled=True, ocr_before_pages=[0])
+    c = compare.compare_pdf(spark.createDataFrame(units, UNIT), spark.createDataFrame(images, IMAGES), options, lambda raw: ("read by the engine", 95))
+    rows = [r for r in c.rows.orderBy("row_seq").collect()]
+    moved = [r for r in rows if r.status == "moved"]
+    assert [(r.before_idx, r.after_idx) for r in moved] == [(0, 2)] and moved[0].row_id == moved[0].move_id
+    assert moved[0].changed_pixels == 12 and moved[0].before_evidence == "ocr"
+    assert [(r.before_idx, r.after_idx, r.status, r.changed_pixels) for r in rows if r.status != "moved"] == [(1, 0, "unchanged", 0), (2, 1, "unchanged", 0)]
+    assert {r.pair_id: r.error for r in c.errors.collect()} == {"big": "TEXT_LIMIT_EXCEEDED"}
+    (r,) = c.results.collect()
+    assert (r.moved, r.outcome, r.certainty, r.warnings) == (1, "changed", "incomplete", ["OCR_HEURISTIC"])
+    with pytest.raises(CompareError):
+        compare.compare_pdf(spark.createDataFrame(units, UNIT), spark.createDataFrame(images, IMAGES), Options(ocr_enabled=True))
+    with pytest.raises(CompareError):
+        compare.compare_blocks(spark.createDataFrame(units, UNIT), options)
+
+
+def test_find_bytes(spark):
+    rows = [(bytes.fromhex("02550444 62D0") + b"%PDF-", 6), (b"xPDF-", -1), (b"\xff" * 1020 + b"%PDF-", -1), (b"%PDF-", 0)]
+    df = spark.createDataFrame(rows, "content binary, at int")
+    assert [r.at == r.found for r in df.withColumn("found", inputs.find_bytes(F.col("content"), b"%PDF-", 1024)).collect()] == [True] * 4
+
+
+def test_text_of_both_sides(spark):
+    body = "".join(f"<w:p><w:r><w:t>{'x' * 99_000}</w:t></w:r></w:p>" for _ in range(11))
+    docs = [("a", package(parts(body)))]
+    _, _, errors = docx.docx_pairs(spark.createDataFrame([("aa", "a", "a")], "pair_id string, before string, after string"), spark.createDataFrame(docs, "name string, content binary"))
+    assert [r.error for r in errors.collect()] == ["TEXT_LIMIT_EXCEEDED"]
 
 
 def test_stream(spark, tmp_path):
