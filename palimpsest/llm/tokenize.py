@@ -59,11 +59,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
-            normalizer = json.load(f)["normalizer"]
-        self.drops_space = normalizer is not None  # the lower-casing kind, which drops white space
+            told = json.load(f)
+        self.drops_space = told["normalizer"] is not None  # the lower-casing kind, which drops white space
+        #: A text that holds one of these is left to the library, which takes it out before anything else.
+        self.added = [t["content"] for t in told["added_tokens"]]
         self.letters = _byte_letters()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.parts = _Remembered(self._part)
@@ -88,6 +89,9 @@ class Encoder:
         out: list[bytes | None] = []
         get, cut = self.parts.__getitem__, (_WORD_LEVEL if self.drops_space else _BYTE_LEVEL).findall
         for t in texts:
+            if any(a in (t or "") for a in self.added):
+                out.append(None)
+                continue
             given = (t or "").lower() if self.drops_space else t or ""
             found = cut(given)
             out.append(b"".join(map(get, found)) if sum(map(len, found)) == len(given) else None)

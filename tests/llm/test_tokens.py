@@ -23,12 +23,13 @@ ROWS = [
     (9, "same same", "x", "y"),
     (9, "same same", "x", "y"),
     (1, "é́ Straße <|endoftext|> 12 345 'S  ", "a", "b"),
+    (10, "<|endoftext|> hi <|endoftext|>", "a", "b"),
+    (11, "plain <s> [UNK] <unk> </s>hi <pad>[PAD]", "a", "b"),
 ]
 
 
 def expected_ids(path, text):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return [*tok.encode(text or "", add_special_tokens=False).ids, 0]
 
 
