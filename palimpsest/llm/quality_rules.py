@@ -186,13 +186,20 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: b
 
     Null text counts as empty: no words, base_failed.  Rows whose language is null or has too
     little text for a reference, and documents below the length guards, skip the distance checks;
-    languages without a list of common words skip the word distance.  Repeated rows are judged each
-    and alike.  An empty table gives an empty result.  Columns of the input named like the
-    output's are replaced.  Features are computed once and written; ``keep_text`` keeps the text.
+    languages without a list of common words skip the word distance.  Texts of any length count
+    whole; repeated rows are judged each and alike; a distance at its bound passes.  An empty table
+    gives an empty result.  Columns of the input named like the output's are replaced, all others
+    stay, whatever their names.  Features are computed once and written; ``keep_text`` keeps the text.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-    found = features(docs.drop(*[c for c in added if c not in (text, lang)]), text, lang)
-    return judge(materialize(found if keep_text else found.drop(text), "features"), lang)
+    kept = [c for c in docs.columns if c in (text, lang) or c not in added]
+    others = [c for c in kept if c not in (text, lang)]
+    # the other columns travel as one, so that none of them meets a helper column
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("struct<c:int>")
+    found = features(docs.select(packed.alias("packed"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
+    judged = judge(materialize(found if keep_text else found.drop("text"), "features"))
+    own = {c: F.col("packed")[f"c{i}"] for i, c in enumerate(others)} | {text: F.col("text") if keep_text else None, lang: F.col("lang")}
+    return judged.select(*[own[c].alias(c) for c in kept if own[c] is not None], *added)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

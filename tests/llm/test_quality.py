@@ -108,5 +108,12 @@ def test_against_plain(spark):
     assert "extra" in got[0] and "text" in got[0]
 
 
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "lang", "_lang", "_text", "_words", "packed", "_chars"]
+    rows = [(i, EN * 3, "en", f"a{i}", "b", "c", "d", "e") for i in range(3)]
+    got = q.assess(spark.createDataFrame(rows, names))
+    assert got.columns[:8] == names and sorted(tuple(r)[:8] for r in got.collect()) == rows
+
+
 def test_empty(spark):
     assert q.assess(spark.createDataFrame([], SCHEMA)).count() == 0
