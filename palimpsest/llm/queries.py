@@ -11,7 +11,7 @@ _QUERIES = {
     "op7_line_dedup": ("line_dedup", "op7_line_dedup", None),
     "op9_near_dedup": ("near_dedup", "op9_near_dedup", "ORACLE"),
     "op5_decontamination": ("decontamination", "op5_decontamination", "ORACLE"),
-    "op6_warc": ("warc", "op6_warc", None),
+    "op6_warc": ("warc", "op6_warc", "ORACLE"),
     "op1_token_store": ("token_store", "op1_token_store", None),
     "op3_packing": ("packing", "op3_packing", None),
     "op8_quality_rules": ("quality_rules", "op8_quality_rules", None),
@@ -24,9 +24,7 @@ def _load(module: str):
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {name: getattr(_load(m), f) for name, (m, f, _) in _QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: getattr(_load(m), f) for name, (m, f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,9 @@ nothing ever holds a whole long record again.  Each row carries the digest of th
 end; the last one's is the digest of the whole.  Files are ordinary ``.gz`` WARC/1.1 files, written
 and read by Spark's own text source, so any file system that Spark knows will do.  Gzip files aren't
 split, so a record's segments, written one after the other, are read by one task in their order.
+
+Other writers' WARC/1.0 and 1.1 files are read as well, record by record as they wrote them: fields
+that only this writer sets are checked where they are.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from palimpsest.llm.common import shared_path
 
 CHUNK_BYTES = 256 * 1024
 #: What stands between two records' blocks.  A block that holds it is cut there, so a reader never takes it for one.
-MARK = b"\r\n\r\nWARC/1.1\r\n"
+MARK = b"\r\n\r\nWARC/1."
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK_SCHEMA = "record_id string, chunk_no int, record_type string, target_uri string, refers_to string, payload binary, payload_bytes long, digest string, last boolean"
@@ -109,53 +112,71 @@ def write_archives(pages: DataFrame, path: str, record: str = "page_id", url: st
 
 
 def _head(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields by lower-case name, and the block as far as it is there."""
     head, _, block = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines if not x.startswith("WARC/1.1"))
-    return fields, block[: int(fields["Content-Length"])]
+    fields = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in fields}, block
 
 
 def _bare(uri: str) -> str:
     return uri.strip("<>")
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("last", pa.bool_())])
-    state, record, kind, whole, refers, seen, block_seen, number = hashlib.sha1(), None, None, None, None, 0, 0, 0
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records between marks; one whose block holds a mark itself is put together again."""
+    held = None
     for batch in batches:
-        out, held = [], 0
         for value in batch.column(0):
-            fields, block = _head(value.as_py())
-            if f"sha1:{_b32(hashlib.sha1(block).digest())}" != fields["WARC-Block-Digest"]:
-                raise ValueError(f"{fields['WARC-Record-ID']}: block differs from its digest")
-            if fields["WARC-Type"] != "continuation":
-                http, _, payload = block.partition(b"\r\n\r\n")
-                record, kind, state, seen, block_seen, number = _bare(fields["WARC-Record-ID"]), fields["WARC-Type"], hashlib.sha1(), 0, 0, 0
-                whole = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                refers = _bare(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                given = fields["WARC-Payload-Digest"]
-            else:
-                payload = block
-                if _bare(fields["WARC-Segment-Origin-ID"]) != record:
-                    raise ValueError(f"{fields['WARC-Record-ID']}: its first segment isn't before it")
-            if int(fields.get("WARC-Segment-Number", 1)) != number + 1:
-                raise ValueError(f"{fields['WARC-Record-ID']}: segment {number + 1} is missing")
-            state.update(payload)
-            seen, block_seen, number = seen + len(payload), block_seen + len(block), number + 1
-            sofar = f"sha1:{_b32(state.digest())}"
-            if sofar != fields["X-Digest-So-Far"]:
-                raise ValueError(f"{fields['WARC-Record-ID']}: payload differs from its running digest")
-            last = "WARC-Segment-Number" not in fields or "WARC-Segment-Total-Length" in fields
-            if last and kind == "response" and (sofar != given or seen != whole):
-                raise ValueError(f"{fields['WARC-Record-ID']}: payload differs from its digest")
-            digest = (given if kind == "revisit" else sofar).removeprefix("sha1:")
-            out.append((record, number - 1, kind, fields.get("WARC-Target-URI"), refers, payload, whole if kind == "revisit" else seen, digest, last))
-            held += len(block)
-            if held > 4_000_000:
-                yield _batch(out, schema)
-                out, held = [], 0
-        if out:
+            held = value.as_py() if held is None else held + MARK + value.as_py()
+            fields, block = _head(held)
+            size = int(fields["content-length"])
+            if len(block) >= size:
+                yield fields, block[:size]
+                held = None
+    if held is not None:
+        raise ValueError("the last record is cut")
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("last", pa.bool_())])
+    state, record, kind, whole, refers, given, seen, number = hashlib.sha1(), None, None, None, None, None, 0, 0
+    out, held = [], 0
+    for fields, block in _whole_records(batches):
+        name = fields["warc-record-id"]
+        if fields.get("warc-block-digest", "").startswith("sha1:") and f"sha1:{_b32(hashlib.sha1(block).digest())}" != fields["warc-block-digest"]:
+            raise ValueError(f"{name}: block differs from its digest")
+        if fields["warc-type"] != "continuation":
+            http, cut, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
+            if http and not cut:
+                payload = b""
+            record, kind, state, seen, number = _bare(name), fields["warc-type"], hashlib.sha1(), 0, 0
+            length = re.search(rb"(?i)\r\nContent-Length: *(\d+)", http)
+            whole = int(length[1]) if length else None
+            refers = _bare(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
+            given = fields.get("warc-payload-digest")
+        else:
+            payload = block
+            if _bare(fields["warc-segment-origin-id"]) != record:
+                raise ValueError(f"{name}: its first segment isn't before it")
+        if int(fields.get("warc-segment-number", 1)) != number + 1:
+            raise ValueError(f"{name}: segment {number + 1} is missing")
+        state.update(payload)
+        seen, number = seen + len(payload), number + 1
+        sofar = f"sha1:{_b32(state.digest())}"
+        own = "x-digest-so-far" in fields
+        if own and sofar != fields["x-digest-so-far"]:
+            raise ValueError(f"{name}: payload differs from its running digest")
+        last = "warc-segment-number" not in fields or "warc-segment-total-length" in fields
+        if own and last and kind == "response" and (sofar != given or seen != whole):
+            raise ValueError(f"{name}: payload differs from its digest")
+        revisit = kind == "revisit"
+        out.append((record, number - 1, kind, fields.get("warc-target-uri"), refers, payload, whole if revisit else seen, (given or "").removeprefix("sha1:") if revisit else sofar.removeprefix("sha1:"), last))
+        held += len(block)
+        if held > 4_000_000:
             yield _batch(out, schema)
+            out, held = [], 0
+    if out:
+        yield _batch(out, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -184,3 +205,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")  # noqa: E731  after urn:page:
     return records(read_chunks(spark, path)).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+# base32 of the hex digest: five hex digits are four letters
+ORACLE = r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+v as (select page_id, html, list_transform(range(0, 8), lambda g: list_reduce(list_transform(range(1, 6), lambda d: (instr('0123456789abcdef', h[5 * g + d]) - 1)::bigint), lambda a, b: a * 16 + b)) as v from p),
+f as (select html, min(page_id) as first from p group by html)
+select page_id, strlen(v.html)::bigint as payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda w: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[x // w % 32 + 1]), '')), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from v join f on v.html = f.html
+"""

@@ -67,3 +67,21 @@ def test_smaller_payloads_stay_responses(spark):
     path = shared_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame(ROWS[:3], SCHEMA), path, min_bytes=100)
     assert {r.record_type for r in warc.read_chunks(spark, path).collect()} == {"response"}
+
+
+def test_foreign_files(spark, tmp_path):
+    def record(version, kind, rid, block, *more):
+        head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", *more, f"content-length:{len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    odd = b"<p>\r\n\r\nWARC/1.0\r\nno record</p>"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    raw = record("1.0", "warcinfo", "urn:i", b"software: y\r\n", "Content-Type: application/warc-fields")
+    raw += record("1.0", "response", "urn:a", http + odd, "Content-Type: application/http; msgtype=response", "WARC-Target-URI: http://a/")
+    raw += record("1.1", "resource", "urn:b", b"plain", "Content-Type: text/plain")
+    with gzip.open(tmp_path / "x.warc.gz", "wb") as f:
+        f.write(raw)
+    got = {r.record_id: r for r in warc.read_chunks(spark, str(tmp_path)).collect()}
+    assert [bytes(got[r].payload) for r in ("urn:i", "urn:a", "urn:b")] == [b"software: y\r\n", odd, b"plain"]
+    assert got["urn:a"].digest == base64.b32encode(hashlib.sha1(odd).digest()).decode() and got["urn:a"].target_uri == "http://a/"
+    assert got["urn:b"].record_type == "resource" and all(r.last for r in got.values())
