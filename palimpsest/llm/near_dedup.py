@@ -14,8 +14,7 @@ one is compared with all others, block against block on the full sets, within ta
 none becomes a row unless it is a link, and a family whose members stay apart costs the square of its size.
 
 Equal sets are one document throughout.  Candidates of small nodes first pass a 128-bit sketch (it errs at
-five standard deviations from the threshold), then the full sets are compared, first each document with
-its likeliest partner, then all pairs that still lie between two components.
+five standard deviations from the threshold), then the full sets are compared.
 """
 
 from __future__ import annotations
@@ -220,7 +219,7 @@ def family_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
 
 def _candidate_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Full sets of ``docs(doc)``; the texts move once, whatever the number of documents."""
-    found = texts.join(docs.distinct().hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
+    found = texts.join(docs.distinct().hint("merge"), "doc", "left_semi")
     return materialize(found.mapInArrow(_sets(width), "doc long, grams binary"), "sets")
 
 
@@ -230,6 +229,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found(node, component)`` with the components joined that ``links(a, b)`` lie between: only those take part."""
+    if links.isEmpty():
+        return found
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    base = found.union(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    a, b = base.toDF("a", "ca"), base.toDF("b", "cb")
+    merged = connected_components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return base.join(merged.toDF("component", "merged"), "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -244,30 +254,24 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     sig = materialize(texts.mapInArrow(_signatures(width), "doc long, n long, digest binary, sig binary, b1 long, b2 long"), "signatures")
     linked = sig.where("digest is not null and doc is not null")
     reps = materialize(linked.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "sets-once")
-    same = join_groups(linked.select("digest", "doc").distinct(), reps, "digest")
+    named = linked.select("digest", "doc").distinct()
     firsts = linked.join(reps.select("digest", F.col("rep").alias("doc")), ["digest", "doc"], "left_semi").dropDuplicates(["digest"]).select("doc", "sig", "b1", "b2")
     pairs, large = candidates(firsts, sig.count())
     pairs = materialize(pairs, "pairs")
     release(spark)
     texts = texts.where("doc is not null")
     sets = _candidate_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), texts, width)
-    release(spark)
-    # each document's likeliest partner first: most links within a family follow from these
-    both = pairs.select("a", "b", "differ").union(pairs.select(F.col("b"), F.col("a"), F.col("differ")))
-    best = both.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
-    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    edges = materialize(_links(best, sets, percent), "links")
-    found = connected_components(edges)
-    a, b = found.toDF("a", "ca"), found.toDF("b", "cb")
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-    rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    edges = materialize(edges.union(_links(rest, sets, percent)), "links")
+    # an id with several texts is one document
+    own = join_groups(named, reps, "digest").groupBy("doc").agg(F.sort_array(F.collect_set("rep")).alias("own")).where(F.size("own") > 1)
+    own = own.select(F.get("own", F.lit(0)).alias("a"), F.explode(F.slice("own", 2, F.size("own"))).alias("b"))
+    found = connected_components(_links(pairs.select("a", "b"), sets, percent).union(own))
     if not large.isEmpty():
         release(spark)
-        edges = edges.union(family_links(families(large, connected_components(edges)), texts, width, percent))
-    edges = edges.union(same.where("doc <> rep").select(F.col("rep"), F.col("doc")))
-    found = connected_components(edges)
-    out = sig.select("doc", "n").join(found.toDF("doc", "component"), "doc", "left")
+        found = _joined(found, materialize(family_links(families(large, found), texts, width, percent), "family-links"))
+    # equal sets are in the component of the first of them
+    placed = reps.join(found.toDF("rep", "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
+    placed = join_groups(named, placed, "digest").groupBy("doc").agg(F.min("component").alias("component"))
+    out = sig.select("doc", "n").join(placed, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc").isNull() | (F.col("doc") == component)).alias("kept"))
 
