@@ -163,12 +163,12 @@ def test_permutations_under_one_key(spark):
     rng = random.Random(8)
     words = [c * 6 for c in "abcdefghijk"]
     rows = []
-    for _ in range(300):
+    for _ in range(100):
         order = rng.sample(words, 11)
         twin = order[:9] + order[:8:-1]
         rows += [(len(rows), " ".join(order), *(None,) * 5), (len(rows) + 1, " ".join(twin), *(None,) * 5)]
     gone, _ = check(spark, rows)
-    assert len(gone) >= 300
+    assert len(gone) >= 100
 
 
 def test_similar_is_the_edit_distance(spark):
