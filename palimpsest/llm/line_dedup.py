@@ -40,8 +40,8 @@ SMALL = 16
 MAX_EDIT = 0.2
 #: Up to this number of words, the edit distance counts signs.
 LONG = 32
-#: What stands between words, line ends apart.  The inner class is looked at first and holds the most frequent signs.
-BETWEEN = r"[^[abcdefghijklmnopqrstuvwxyz0123456789\n]\p{L}\p{M}\p{N}]+"
+#: What stands between words beside blanks, line ends apart.  The inner class is looked at first and holds the most frequent signs.
+BETWEEN = r"[^[abcdefghijklmnopqrstuvwxyz0123456789\n ]\p{L}\p{M}\p{N}]+"
 
 #: A word's hash votes with the bits 5 * i and 5 * i + 1 for i up to 11.  In the fast way a block's votes are summed in
 #: twelve lanes of 5 bits, else in lanes of 15 bits, four to a long.
@@ -55,22 +55,30 @@ _PAIRS = list(combinations(range(BLOCKS), AGREE))
 
 
 def normalized(text: Column) -> Column:
-    """Lower-cased; each run of anything but letters, their marks, digits and line ends is one blank."""
+    """Lower-cased; each run of anything but letters, their marks, digits, blanks and line ends is one blank."""
     return F.regexp_replace(F.lower(text), BETWEEN, " ")
 
 
 def _words(line: Column) -> Column:
     """The words of a normalised line that has some."""
-    return F.split(F.trim(line), " ")
+    return F.array_remove(F.split(F.trim(line), " "), "")
 
 
 def _hashes(words: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _block_of(xs: str, b: int) -> Column:
-    low, high = _CUTS[b - 1] if b else None, _CUTS[b] if b < BLOCKS - 1 else None
-    return F.filter(xs, lambda x: (x < high) if low is None else (x >= low) if high is None else (x >= low) & (x < high))
+def _blocks(lines: DataFrame, kept: list[str]) -> DataFrame:
+    """Replace the distinct hashes ``xs`` by x0.., those of each block: sorted with the cuts among them, a block is a slice.
+
+    Sorting, looking for a cut and slicing work on plain longs; a lambda for each block and hash would box them.
+    """
+    cuts = F.array(*[F.lit(c).cast("long") for c in _CUTS])
+    lines = lines.select(*kept, F.sort_array(F.concat("xs", cuts)).alias("xs"))
+    at = [F.lit(0), *[F.array_position("xs", F.lit(c).cast("long")).cast("int") for c in _CUTS], F.size("xs") + 1]
+    lines = lines.select(*kept, "xs", *[p.alias(f"p{b}") for b, p in enumerate(at)])
+    part = lambda b: F.slice("xs", F.col(f"p{b}") + 1, F.col(f"p{b + 1}") - F.col(f"p{b}") - 1)
+    return lines.select(*kept, *[part(b).alias(f"x{b}") for b in range(BLOCKS)])
 
 
 def _sum(xs: str, value) -> Column:
@@ -115,7 +123,7 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     short = F.when(F.col("n").between(MIN_WORDS, SHORT), F.transform("all", lambda x: F.shiftrightunsigned(x, 8)))
     kept = ["doc", "line_no", "h", "n", "short"]
     lines = lines.select("doc", "line_no", "h", "n", short.alias("short"), xs.alias("xs"))
-    lines = _block_values(lines.select(*kept, *[_block_of("xs", b).alias(f"x{b}") for b in range(BLOCKS)]), kept)
+    lines = _block_values(_blocks(lines, kept), kept)
     half = lambda b: _any_of([F.col(f"v{b}"), F.shiftleft(f"v{b + 1}", BLOCK_BITS), F.shiftleft(F.least(f"k{b}", F.lit(15)), 48), F.shiftleft(F.least(f"k{b + 1}", F.lit(15)), 52)])
     return lines.select(*kept, *[F.when(F.col("n") >= BLOCK_LEAST, half(b)).alias(s) for s, b in (("s1", 0), ("s2", 2))])
 
