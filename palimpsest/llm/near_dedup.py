@@ -88,19 +88,39 @@ def _sets(width: int):
     return run
 
 
+class Forest:
+    """What a task's links have joined so far.  Beyond a bound it forgets all, which only lets more links through."""
+
+    def __init__(self, bound: int = 1_000_000):
+        self.bound, self.parent = bound, {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        if len(self.parent) >= self.bound:
+            self.parent.clear()
+        self.parent[self.root(y)] = self.root(x)
+
+
 def _confirm(percent: int):
+    """Pairs compared on their full sets, but for those that the task's links have joined before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        joined = Forest()
         for batch in batches:
             a, b = [], []
-            for x, y, gx, gy in zip(*batch.columns, strict=True):
-                if x.as_py() != last:
-                    last, left = x.as_py(), np.frombuffer(gx.as_py(), "<u8")
-                right = np.frombuffer(gy.as_py(), "<u8")
+            for x, y, gx, gy in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if joined.root(x) == joined.root(y):
+                    continue
+                left, right = np.frombuffer(gx.as_py(), "<u8"), np.frombuffer(gy.as_py(), "<u8")
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * both >= percent * (len(left) + len(right) - both):
-                    a.append(last)
-                    b.append(y.as_py())
+                    joined.join(x, y)
+                    a.append(x)
+                    b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -178,13 +198,7 @@ def _compare(percent: int):
             size = np.array([len(grams[i]) for i in others])
             known, place = np.unique(np.concatenate([grams[i] for i in others]), return_inverse=True)
             starts, theirs = np.cumsum(size) - size, groups[others]
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    x = parent[x]
-                return x
-
+            joined = Forest()
             for i in np.flatnonzero(left):
                 at = np.searchsorted(known, grams[i])
                 at = at[at < len(known)]
@@ -193,9 +207,9 @@ def _compare(percent: int):
                 both = np.add.reduceat(own[place], starts)
                 near = (100 * both >= percent * (len(grams[i]) + size - both)) & (theirs != groups[i])
                 for j in np.flatnonzero(near):
-                    x, y = root(int(groups[i])), root(int(theirs[j]))
-                    if x != y:
-                        parent[y] = x
+                    x, y = int(groups[i]), int(theirs[j])
+                    if joined.root(x) != joined.root(y):
+                        joined.join(x, y)
                         links.append((int(docs[i]), int(docs[others[j]])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -224,7 +238,7 @@ def _candidate_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """Pairs (a, b) whose full sets are similar enough: as many as join all that such pairs join."""
     left, right = sets.toDF("a", "ga"), sets.toDF("b", "gb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long")
 
