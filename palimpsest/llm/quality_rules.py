@@ -206,3 +206,38 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base features and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return assess(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_LISTS = ", ".join(f"('{k}', [{', '.join(repr(w) for w in words)}])" for k, words in COMMON_WORDS.items())
+_SQL_CLASSES = ["a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r".,;:!?''\"()\-", r"#*$%&|<>@/\\_=+~^`{}\[\]"]
+ORACLE = rf"""
+with lists(lang, listed) as (values {_LISTS}),
+w as (select doc_id, d.lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as a, listed from documents d left join lists using (lang)),
+f as (
+  select doc_id, lang, a, len(a)::bigint as n_words, coalesce(length(array_to_string(a, '')), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g'))::bigint as n_symbols,
+    [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines,
+    [{", ".join(f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in _SQL_CLASSES)}] as known, length(t) as n_chars,
+    [len([x for x in a if lower(x) = v]) for v in listed] as common
+  from w
+), s as (
+  select doc_id, i, count(*) over (partition by doc_id, array_to_string(a[i:i + 7], ' ')) as times from f, unnest(range(1, len(a) - 6)) r(i)
+), r as (
+  select doc_id, sum(least(8, coalesce(after - i, 8))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as after from s where times > 1) group by 1
+), g as (
+  select f.*, coalesce(r.n, 0)::bigint as n_repeat_words, n_words < 20 or 100 * coalesce(r.n, 0) > 30 * n_words as base_failed,
+    [x / n_chars for x in list_append(known, n_chars - list_sum(known))] as chars, [x / n_words for x in common] as words
+  from f left join r using (doc_id)
+), h as (
+  select doc_id, lang, n_words, 'chars' as kind, i, chars[i] as p from g, range(1, {len(CLASSES) + 1}) t(i) where n_words >= {MIN_WORDS_CHARS}
+  union all
+  select doc_id, lang, n_words, 'words', i, list_append(words, greatest(1 - list_sum(words), 0))[i] from g, range(1, {N_COMMON + 2}) t(i) where n_words >= {MIN_WORDS_COMMON} and words is not null
+), refs as (
+  select lang, kind, i, avg(p) as q from h where n_words >= {MIN_WORDS_COMMON} group by 1, 2, 3 having count(*) >= {MIN_REFERENCE_DOCS}
+), parts as (
+  select doc_id, kind, case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end as x from h join refs using (lang, kind, i)
+), far as (select doc_id, kind, sqrt(greatest(sum(x) / 2, 0)) as d from parts group by 1, 2)
+select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(c.d <= {CHAR_FLOOR} + {CHAR_NOISE} / sqrt(n_words), true) and coalesce(v.d <= {WORD_FLOOR} + {WORD_NOISE} / sqrt(n_words), true) as kept
+from g left join (from far where kind = 'chars') c using (doc_id) left join (from far where kind = 'words') v using (doc_id)
+"""

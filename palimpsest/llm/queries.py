@@ -14,7 +14,7 @@ _QUERIES = {
     "op6_warc": ("warc", "op6_warc", "ORACLE"),
     "op1_token_store": ("token_store", "op1_token_store", None),
     "op3_packing": ("packing", "op3_packing", None),
-    "op8_quality_rules": ("quality_rules", "op8_quality_rules", None),
+    "op8_quality_rules": ("quality_rules", "op8_quality_rules", "ORACLE"),
     "op10_url_rules": ("url_rules", "op10_url_rules", "ORACLE"),
 }
 
