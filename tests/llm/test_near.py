@@ -131,3 +131,16 @@ def test_join_groups(spark):
     finally:
         common.HEAVY, common.ONE_TASK = old
     assert got == sorted((k, i, 2 * k) for k, i in rows)
+
+
+def test_forest_joins_as_all_links_do():
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    for bound in (3, 1000):
+        forest, told = nd.Forest(bound), []
+        for a, b in links:
+            if forest.root(a) != forest.root(b):
+                forest.join(a, b)
+                told.append((a, b))
+        assert union(range(60), told) == union(range(60), links)
+        assert bound == 3 or len(told) == 60 - len(set(union(range(60), links).values()))
