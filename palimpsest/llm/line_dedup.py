@@ -43,6 +43,9 @@ LONG = 32
 #: What stands between words beside blanks, line ends apart.  The inner class is looked at first and holds the most frequent signs.
 BETWEEN = r"[^[abcdefghijklmnopqrstuvwxyz0123456789\n ]\p{L}\p{M}\p{N}]+"
 
+#: Columns of hashes gain nothing from a dictionary, and building it costs a look-up for each value.
+HASHED = {"parquet.enable.dictionary": "false"}
+
 #: A word's hash votes with the bits 5 * i and 5 * i + 1 for i up to 11.  In the fast way a block's votes are summed in
 #: twelve lanes of 5 bits, else in lanes of 15 bits, four to a long.
 _LANES5 = sum(1 << 5 * i for i in range(12))
@@ -196,18 +199,22 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(h, norm, codes, n, longest) of the lines ``wanted(h, doc, line_no)``, their first occurrences.
+    """(h, norm, codes, n, longest) of the lines ``wanted(doc, line_no)``, their first occurrences.
 
     ``codes`` has a sign for every word, from 15 bits of its hash; ``longest`` is the longest word's length.
     """
     none = F.lit(-1 << 63)
-    by_doc = wanted.groupBy(F.coalesce("doc", none).alias("doc")).agg(F.collect_list(F.struct("h", "line_no")).alias("wanted"))
+    by_doc = wanted.groupBy(F.coalesce("doc", none).alias("doc")).agg(F.collect_set("line_no").alias("wanted"))
     some = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
     # only the wanted lines are normalised
-    some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", normalized(F.get("lines", F.col("w.line_no"))).alias("line"))
-    some = some.select("h", _words(F.col("line")).alias("words")).where(F.xxhash64(_hashes("words")) == F.col("h"))
-    sign = lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF))), 4, "0")
-    codes = F.decode(F.unhex(F.array_join(F.transform("words", sign), "")), "UTF-16BE")
+    some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no")).select(F.get("lines", F.col("line_no")).alias("line"))
+    some = some.where("line is not null").select(normalized(F.col("line")).alias("line"))
+    some = some.select(_words(F.col("line")).alias("words")).select("words", _hashes("words").alias("all"))
+    # where documents share an id, lines that no one wants come along under their own hash
+    some = some.select("words", "all", F.xxhash64("all").alias("h"))
+    # four hex digits each, below the surrogates
+    sign = lambda x: F.hex(x.bitwiseAND(F.lit(0x7FFF)) + F.lit(0x1000))
+    codes = F.decode(F.unhex(F.array_join(F.transform("all", sign), "")), "UTF-16BE")
     return some.select("h", F.array_join("words", " ").alias("norm"), codes.alias("codes"), F.size("words").alias("n"), F.array_max(F.transform("words", F.length)).alias("longest")).dropDuplicates(["h"])
 
 
@@ -219,16 +226,16 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     first_of = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "line_no")
-    lines = materialize(line_hashes(docs, doc_id, text), "lines")
+    lines = materialize(line_hashes(docs, doc_id, text), "lines", **HASHED)
     release(spark)
     one = [F.first(c).alias(c) for c in ("n", "short", "s1", "s2")]
-    distinct = materialize(lines.groupBy("h").agg(F.min(first_of).alias("at"), F.count(F.lit(1)).alias("times"), *one), "distinct-lines")
-    met = materialize(shared_keys(distinct), "line-keys")
+    distinct = materialize(lines.groupBy("h").agg(F.min(first_of).alias("at"), F.count(F.lit(1)).alias("times"), *one), "distinct-lines", **HASHED)
+    met = materialize(shared_keys(distinct), "line-keys", **HASHED)
     release(spark)
     pairs = materialize(first_pairs(met), "line-pairs")
     large = met.where(F.col("members") > SMALL)
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(large.select("h")).distinct()
-    wanted = wanted.join(distinct, "h").select("h", "at.doc", "at.line_no")
+    wanted = wanted.join(distinct, "h").select("at.doc", "at.line_no")
     texts = materialize(line_texts(docs, doc_id, text, wanted), "line-texts")
     release(spark)
     links = materialize(similar(pairs, texts), "line-links")
@@ -259,12 +266,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     doc, drop, lines = fresh_names(docs, "doc", "drop", "lines")
     gone = duplicate_lines(docs, doc_id, text).toDF(doc, drop)
     df = docs.drop("n_lines", "n_removed").join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(doc)), "left")
-    df = df.withColumn(lines, F.split(text, "\n"))
+    # only texts that lose a line are split
+    df = df.withColumn(lines, F.when(F.col(drop).isNotNull(), F.split(text, "\n")))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     every = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.array_join(F.transform(F.array_sort(F.array_except(every, F.col(drop))), lambda i: F.get(F.col(lines), i)), "\n")
+    kept = F.array_join(F.transform(F.sort_array(F.array_except(every, F.col(drop))), lambda i: F.get(F.col(lines), i)), "\n")
     return df.withColumns(
         {
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+            "n_lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"),
             "n_removed": F.coalesce(F.size(drop), F.lit(0)).cast("long"),
             text: F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept),
         }
