@@ -153,7 +153,8 @@ def candidates(reps: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     pairs = None
     for level, node in enumerate(_levels()):
         rows = active.withColumn("node", node)
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written, as join_groups reads them in several places: the branches are made once for the counts
+        counts = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-counts")
         rows = materialize(join_groups(rows, counts, "node", number * TREES * (len(OTHERS) if level == 2 else 1)), "nodes")
         small = rows.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("doc", "b1", "b2")).alias("l"))
         near = lambda x, i: F.transform(
