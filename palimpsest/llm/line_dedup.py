@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, fresh_names, join_groups, materialize, pairs_within, release
+from palimpsest.llm.common import connected_components, fresh_names, join_groups, materialize, pairs_within, perhaps_among, release
 
 #: Lines of fewer words are compared for equality only.
 MIN_WORDS = 5
@@ -67,17 +67,22 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.trim(line), " "), "")
 
 
-def _hashes(words: str) -> Column:
+def _hashes(words: str | Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _word_hashes(line: Column) -> Column:
+    """The hashes of _words: what lies between two blanks goes as a hash, which costs no comparison of strings."""
+    return F.array_remove(_hashes(F.split(line, " ")), F.xxhash64(F.lit("")))
+
+
 def _blocks(lines: DataFrame, kept: list[str]) -> DataFrame:
-    """Replace the distinct hashes ``xs`` by x0.., those of each block: sorted with the cuts among them, a block is a slice.
+    """Replace the hashes ``xs`` by x0.., the distinct ones of each block: sorted with the cuts among them, a block is a slice.
 
     Sorting, looking for a cut and slicing work on plain longs; a lambda for each block and hash would box them.
     """
     cuts = F.array(*[F.lit(c).cast("long") for c in _CUTS])
-    lines = lines.select(*kept, F.sort_array(F.concat("xs", cuts)).alias("xs"))
+    lines = lines.select(*kept, F.sort_array(F.array_union("xs", cuts)).alias("xs"))
     at = [F.lit(0), *[F.array_position("xs", F.lit(c).cast("long")).cast("int") for c in _CUTS], F.size("xs") + 1]
     lines = lines.select(*kept, "xs", *[p.alias(f"p{b}") for b, p in enumerate(at)])
     part = lambda b: F.slice("xs", F.col(f"p{b}") + 1, F.col(f"p{b + 1}") - F.col(f"p{b}") - 1)
@@ -96,32 +101,52 @@ def _block_values(lines: DataFrame, kept: list[str]) -> DataFrame:
     """Add v0.., the blocks' bits that more than half of their hashes x0.. have set, and k0.., the numbers of hashes."""
     blocks = range(BLOCKS)
     shifted = lambda x, n: F.shiftrightunsigned(x, n) if n else x
-    lines = lines.select(*kept, *[f"x{b}" for b in blocks], *[F.size(f"x{b}").cast("long").alias(f"k{b}") for b in blocks])
-    fast = lambda b, r: F.when(F.col(f"k{b}") <= _FAST, _sum(f"x{b}", lambda x: shifted(x, r).bitwiseAND(F.lit(_LANES5))))
-    lines = lines.select("*", *[fast(b, r).alias(f"a{b}{r}") for b in blocks for r in range(2)])
-    wide = lambda b, r, q: F.coalesce(shifted(F.col(f"a{b}{r}"), 5 * q).bitwiseAND(F.lit(31 * _LANES15)), _sum(f"x{b}", lambda x: shifted(x, r + 5 * q).bitwiseAND(F.lit(_LANES15))))
-    lines = lines.select("*", *[wide(b, r, q).alias(f"s{b}{r}{q}") for b in blocks for r, q in _VOTES])
-    # twice the votes against the number of words, in all lanes at once: bit 14 says which is more
-    ahead = lambda b, r, q: F.shiftrightunsigned(F.lit(_MOST_VOTES * _LANES15) + 2 * F.col(f"s{b}{r}{q}") - F.col(f"k{b}") * _LANES15, 14).bitwiseAND(F.lit(_LANES15))
-    lines = lines.select(*kept, *[F.col(f"{c}{b}") for b in blocks for c in "kx"], *[F.when(F.col(f"k{b}") <= _MOST_VOTES, ahead(b, r, q)).alias(f"g{b}{r}{q}") for b in blocks for r, q in _VOTES])
-    packed = lambda g: _any_of([shifted(F.col(g), 14 * i).bitwiseAND(F.lit(1 << i).cast("long")) for i in range(4)])
-    # blocks of more words than a lane counts take a sum for every bit
-    bits = [15 * i + r + 5 * q for r, q in _VOTES for i in range(4)]
-    many = lambda b: _any_of([F.when(2 * _sum(f"x{b}", lambda x, bit=bit: shifted(x, bit).bitwiseAND(F.lit(1).cast("long"))) > F.col(f"k{b}"), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, bit in enumerate(bits)])
-    value = lambda b: F.coalesce(_any_of([F.shiftleft(packed(f"g{b}{r}{q}"), 4 * n) for n, (r, q) in enumerate(_VOTES)]), many(b))
-    return lines.select(*kept, *[F.col(f"k{b}") for b in blocks], *[value(b).alias(f"v{b}") for b in blocks])
+    lines = lines.select(*kept, *[F.col(f"x{b}") for b in blocks], *[F.size(f"x{b}").cast("long").alias(f"k{b}") for b in blocks])
+
+    def fast(b: int, r: int) -> Column:
+        """Bits 5 * i + r: votes and what more than half lacks of 16, in all lanes at once; the last lane ends below bit 61."""
+        votes = shifted(_sum(f"x{b}", lambda x: x.bitwiseAND(F.lit(_LANES5 << r))), r)
+        more = F.shiftrightunsigned(votes + (F.lit(15).cast("long") - F.shiftright(f"k{b}", 1)) * F.lit(_LANES5), 4)
+        return F.shiftleft(more.bitwiseAND(F.lit(_LANES5)), r)
+
+    def wide(b: int, r: int, q: int) -> Column:
+        """Bits 15 * i + 5 * q + r: twice the votes against the number of words, bit 14 says which is more."""
+        votes = _sum(f"x{b}", lambda x: shifted(x, r + 5 * q).bitwiseAND(F.lit(_LANES15)))
+        more = F.shiftrightunsigned(F.lit(_MOST_VOTES * _LANES15) + 2 * votes - F.col(f"k{b}") * _LANES15, 14)
+        return F.shiftleft(more.bitwiseAND(F.lit(_LANES15)), r + 5 * q)
+
+    def many(b: int, bit: int) -> Column:
+        """One bit: blocks of more words than a lane counts take a sum for each."""
+        votes = _sum(f"x{b}", lambda x: shifted(x, bit).bitwiseAND(F.lit(1).cast("long")))
+        return F.when(2 * votes > F.col(f"k{b}"), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    def spread(b: int) -> Column:
+        """The block's 24 bits, at 5 * i and 5 * i + 1."""
+        few, some = F.col(f"k{b}") <= _FAST, F.col(f"k{b}") <= _MOST_VOTES
+        ways = F.when(few, fast(b, 0).bitwiseOR(fast(b, 1))).when(some, _any_of([wide(b, r, q) for r, q in _VOTES]))
+        return ways.when(~some, _any_of([many(b, 15 * i + r + 5 * q) for r, q in _VOTES for i in range(4)]))
+
+    lines = lines.select(*kept, *[F.col(f"k{b}") for b in blocks], *[spread(b).alias(f"v{b}") for b in blocks])
+    # neighbours move together: 2 bits of every 5, 4 of every 10, 8 of every 20
+    for bits, gap, n in ((2, 5, 12), (4, 10, 6)):
+        mask = sum(((1 << bits) - 1) << 2 * gap * i for i in range(n // 2))
+        close = lambda v: v.bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftrightunsigned(v, gap - bits).bitwiseAND(F.lit(mask << bits)))  # noqa: E731, B023
+        lines = lines.select(*kept, *[F.col(f"k{b}") for b in blocks], *[close(F.col(f"v{b}")).alias(f"v{b}") for b in blocks])
+    joined = lambda v: _any_of([F.shiftrightunsigned(v, 12 * i).bitwiseAND(F.lit(255 << 8 * i).cast("long")) for i in range(3)])
+    return lines.select(*kept, *[F.col(f"k{b}") for b in blocks], *[joined(F.col(f"v{b}")).alias(f"v{b}") for b in blocks])
 
 
 def line_hashes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, line_no (from 0), h (64-bit hash of the words in order), n, short (word hashes of short lines), s1 and s2 of every line with words.
+    """doc, line_no (from 0), h (64-bit hash of the words in order), n, short (word hashes of short lines), s1 and s2 of every line; n is 0 without words.
 
     s1 and s2 hold the SimHash of longer lines, two blocks each, and from bit 48 on how many
     distinct words voted in them, 15 at most.  All is made within the row: nothing moves for it.
     """
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(normalized(F.col(text)), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    lines = lines.select("doc", "line_no", _words(F.col("line")).alias("words")).select("doc", "line_no", _hashes("words").alias("all"))
+    # lower-casing takes ASCII faster, and most lines of other texts are ASCII
+    lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = lines.select("doc", "line_no", _word_hashes(normalized(F.col("line"))).alias("all"))
     lines = lines.withColumns({"n": F.size("all"), "h": F.xxhash64("all")})
-    xs = F.when(F.col("n") >= BLOCK_LEAST, F.array_distinct("all"))
+    xs = F.when(F.col("n") >= BLOCK_LEAST, F.col("all"))
     # 56 bits of a hash, so that the sum of SHORT stays a long
     short = F.when(F.col("n").between(MIN_WORDS, SHORT), F.transform("all", lambda x: F.shiftrightunsigned(x, 8)))
     kept = ["doc", "line_no", "h", "n", "short"]
@@ -135,12 +160,12 @@ def line_keys(lines: DataFrame) -> DataFrame:
     """``lines(h, n, short, s1, s2)`` to (key, h), a row for every block key."""
     part = lambda b, at, bits: F.shiftrightunsigned(F.col("s1" if b < 2 else "s2"), at).bitwiseAND(F.lit((1 << bits) - 1))
     value, votes = (lambda b: part(b, BLOCK_BITS * (b % 2), BLOCK_BITS)), (lambda b: part(b, 48 + 4 * (b % 2), 4))
-    pairs = F.array_compact(F.array(*[F.when(votes(i) + votes(j) >= KEY_WORDS, F.xxhash64(F.lit(t), value(i), value(j))) for t, (i, j) in enumerate(_PAIRS)]))
-    without = F.array_append(F.transform("short", lambda x: F.xxhash64(F.col("total") - x)), F.xxhash64("total"))
-    none = F.array().cast("array<long>")
-    keys = F.concat(F.when(F.col("n") >= BLOCK_LEAST, pairs).otherwise(none), F.when(F.col("short").isNotNull(), F.array_distinct(without)).otherwise(none))
-    lines = lines.where(F.col("n") >= MIN_WORDS).withColumn("total", _sum("short", lambda x: x))
-    return lines.select("h", F.explode(keys).alias("key"))
+    pairs = F.array(*[F.when(votes(i) + votes(j) >= KEY_WORDS, F.xxhash64(F.lit(t), value(i), value(j))) for t, (i, j) in enumerate(_PAIRS)])
+    # two kinds of lines, one after the other: the pairs need no lambda, so their rows are made in generated code
+    blocks = lines.where(F.col("n") >= BLOCK_LEAST).select("h", F.explode(pairs).alias("key")).where("key is not null")
+    without = F.array_distinct(F.array_append(F.transform("short", lambda x: F.col("total") - x), F.col("total")))
+    short = lines.where(F.col("n").between(MIN_WORDS, SHORT)).withColumn("total", _sum("short", lambda x: x))
+    return blocks.union(short.select("h", F.explode(without).alias("key")))
 
 
 def shared_keys(lines: DataFrame) -> DataFrame:
@@ -177,13 +202,21 @@ def open_pairs(met: DataFrame, groups: DataFrame, lengths: DataFrame) -> DataFra
     return found.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
+def _common(x: str, y: str) -> Column:
+    """How many signs two texts begin with alike, up to 511."""
+    steps = F.array(*[F.lit(1 << k) for k in range(8, -1, -1)])
+    alike = lambda n, step: F.substr(x, n + 1, step) == F.substr(y, n + 1, step)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(alike(n, step), n + step).otherwise(n))
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``texts(h, norm, codes, n, longest)`` whose edit distance is at most MAX_EDIT of the longer line.
 
     Beyond LONG words the distance is that of ``codes``, a sign for every word, and looked for within
     a few words first: near lines then cost no more than their length.  Shorter lines count the signs
     of their texts; words that differ settle most of them, as each costs at most the longest word and
-    its blank.  A word to spare covers two words with one code.
+    its blank.  A word to spare covers two words with one code.  What is left is looked for without the
+    beginning and the end that both lines have, which don't change the distance.
     """
     side = lambda s: texts.select(F.col("h").alias(s), F.struct("norm", "codes", "n", "longest").alias(f"t{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -192,10 +225,15 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = both.withColumns({"long": long, "allowed": F.floor(F.greatest(size("ta"), size("tb")) * MAX_EDIT).cast("int")})
     both = both.where(F.abs(size("ta") - size("tb")) <= F.col("allowed"))
     both = both.withColumn("swaps", F.when(F.col("long"), F.col("allowed")).otherwise(F.floor(F.col("allowed") / (F.greatest("ta.longest", "tb.longest") + 1)).cast("int") - 1))
-    near = lambda most: F.expr(f"swaps >= 0 and levenshtein(ta.codes, tb.codes, least(greatest(swaps, 0), {most})) >= 0")
-    signs = F.expr("not long and levenshtein(ta.norm, tb.norm, allowed) >= 0")  # -1 beyond the threshold
-    further = lambda most, then: (F.col("swaps") > most) & near(then)
-    return both.where(near(8) | further(8, 128) | further(128, 1 << 30) | signs).select("a", "b")
+    both = both.withColumn("found", F.expr("swaps >= 0 and levenshtein(ta.codes, tb.codes, least(greatest(swaps, 0), 8)) >= 0"))
+    both = both.withColumn("most", F.when(~F.col("found"), F.when(F.col("long"), F.col("swaps")).otherwise(F.col("allowed"))))
+    both = both.select("a", "b", "most", "found", *[F.when(F.col("most").isNotNull(), F.when(F.col("long"), F.col(f"t{s}.codes")).otherwise(F.col(f"t{s}.norm"))).alias(s + "0") for s in "ab"])
+    for k in range(2):  # the second time from the end
+        both = both.withColumn("n", F.when(~F.col("found"), _common(f"a{k}", f"b{k}")))
+        both = both.select("a", "b", "most", "found", *[F.reverse(F.substr(f"{s}{k}", F.col("n") + 1)).alias(f"{s}{k + 1}") for s in "ab"])
+    within = F.expr("levenshtein(a2, b2, least(most, 128)) >= 0 or (most > 128 and levenshtein(a2, b2, most) >= 0)")  # -1 beyond the threshold
+    # a generator, as a filter would be worked out below the columns that it uses, each as often as it is used
+    return both.select(F.explode(F.when(F.col("found") | within, F.array(F.struct("a", "b")))).alias("p")).select("p.a", "p.b")
 
 
 def line_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -205,7 +243,10 @@ def line_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
     """
     none = F.lit(-1 << 63)
     by_doc = wanted.groupBy(F.coalesce("doc", none).alias("doc")).agg(F.collect_set("line_no").alias("wanted"))
-    some = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
+    by_doc = materialize(by_doc, "wanted-lines")  # counted, and used twice
+    some = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"), F.col(text).alias("text"))
+    # most texts that no one wants stay where they are
+    some = perhaps_among(some, by_doc, "doc").join(by_doc.hint("shuffle_hash"), "doc")
     # only the wanted lines are normalised
     some = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no")).select(F.get("lines", F.col("line_no")).alias("line"))
     some = some.where("line is not null").select(normalized(F.col("line")).alias("line"))
@@ -226,7 +267,8 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     first_of = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "line_no")
-    lines = materialize(line_hashes(docs, doc_id, text), "lines", **HASHED)
+    # a filter before the hashes are written would have them worked out twice
+    lines = materialize(line_hashes(docs, doc_id, text), "lines", **HASHED).where("n > 0")
     release(spark)
     one = [F.first(c).alias(c) for c in ("n", "short", "s1", "s2")]
     distinct = materialize(lines.groupBy("h").agg(F.min(first_of).alias("at"), F.count(F.lit(1)).alias("times"), *one), "distinct-lines", **HASHED)
@@ -265,7 +307,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     doc, drop, lines = fresh_names(docs, "doc", "drop", "lines")
     gone = duplicate_lines(docs, doc_id, text).toDF(doc, drop)
-    df = docs.drop("n_lines", "n_removed").join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(doc)), "left")
+    # the texts are neither sorted nor held for it: one side's task has the numbers of its documents' lines only
+    df = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col(doc)), "left")
     # only texts that lose a line are split
     df = df.withColumn(lines, F.when(F.col(drop).isNotNull(), F.split(text, "\n")))
     breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import xxhash
 from palimpsest.llm import line_dedup as ld
+from palimpsest.llm.common import materialize, perhaps_among
 
 SCHEMA = "doc_id long, text string, n_lines string, doc string, drop string, lines string, _doc string"
 
@@ -200,3 +201,34 @@ def test_normalizing_is_unicode(spark):
     got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: rows[0][1], 1: "—…", 2: "—…", 9: "की", 10: "का"}
     assert re.search("x", normal("X"))
+
+
+def shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(10_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_no_one_wants_stay_where_they_are(spark):
+    rng = random.Random(12)
+    rows = [(i, f"{rng.getrandbits(8000):x} {rng.getrandbits(8000):x}\nlast {i}") for i in range(1000)]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, 1), (None, 0)], "doc long, line_no int")
+    before, kept = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [r.norm for r in ld.line_texts(docs, "doc_id", "text", wanted).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == ["last 7"]
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows) / 10
+
+
+def test_perhaps_among_loses_no_key(spark):
+    keys = materialize(spark.createDataFrame([(7 * i - 100,) for i in range(5000)] + [(None,)], "doc long"), "keys")
+    rows = spark.range(-2000, 60000).selectExpr("id as doc", "'x' as piece").union(spark.createDataFrame([(None, "x")], "doc long, piece string"))
+    got = perhaps_among(rows, keys, "doc")
+    found = [r.doc for r in got.collect()]
+    assert got.columns == ["doc", "piece"] and len(found) == len(set(found)) < 5000 + 57000 / 8
+    assert {7 * i - 100 for i in range(5000)} | {None} <= set(found)
+    assert perhaps_among(rows, materialize(keys.where("false"), "keys"), "doc").count() == 0
