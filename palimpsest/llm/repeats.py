@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, mix64, release, shared_path
+from palimpsest.llm.common import mix64, release, shared_path
 from palimpsest.llm.katz import narrow, pack_arrays, unpack_arrays
 
 LENGTH, SEED = 200, 64
@@ -38,6 +38,8 @@ SLICE = 2_000_000
 #: Anchors of a bucket in step 1, bytes of a range in step 3: each is held in one task.
 BUCKET_BYTES = 16_000_000
 RANGE_BYTES = 12_000_000
+#: Runs whose bytes go out at once; repeated windows of a range that are held before they are joined.
+RECORDS, WINDOWS = 20_000, 500_000
 
 _rng = np.random.default_rng(99)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, dtype=np.uint64)
@@ -79,6 +81,12 @@ class Hasher:
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[begin]) * self.powers[begin])
 
+    def every(self, length: int) -> np.ndarray:
+        """Hashes of all substrings of ``length`` bytes, as ``of`` gives them."""
+        out = self.sums[length:] - self.sums[:-length]
+        out *= self.powers[: len(out)]
+        return mix64(out)
+
 
 def anchors(data: np.ndarray, bounds: np.ndarray, sent: np.ndarray):
     """Runs of windows with one anchor, and repeats within a document.
@@ -90,19 +98,20 @@ def anchors(data: np.ndarray, bounds: np.ndarray, sent: np.ndarray):
     n, none = len(data), np.empty(0, np.int64)
     if n < LENGTH:
         return (none,) * 6, (none, none)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     windows = n - LENGTH + 1
     valid = (doc[:windows] == doc[LENGTH - 1 :]) & sent[doc[:windows]]
     h = Hasher(data)
-    at = np.arange(n - SEED + 1)
-    seeds = h.of(at, at + SEED)
-    key = (seeds & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64)  # least hash, then leftmost
-    least, width = key, 1
+    seeds = h.every(SEED)
+    least, width = seeds & np.uint64(0xFFFFFFFFFF000000), 1  # least hash, then leftmost
+    least |= np.arange(len(seeds), dtype=np.uint64)
     while 2 * width <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[:windows], least[SPAN - width : SPAN - width + windows])
-    anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+    least &= np.uint64(0xFFFFFF)
+    anchor = least.astype(np.int32)
+    del least
 
     def runs():
         p = np.flatnonzero(valid)
@@ -110,7 +119,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, sent: np.ndarray):
             return none, none, none
         new = np.append(True, (anchor[p[1:]] != anchor[p[:-1]]) | (p[1:] != p[:-1] + 1) | (doc[p[1:]] != doc[p[:-1]]))
         begin = np.flatnonzero(new)
-        return anchor[p[begin]], p[begin], p[np.append(begin[1:], len(p)) - 1]
+        return anchor[p[begin]].astype(np.int64), p[begin], p[np.append(begin[1:], len(p)) - 1]
 
     a, first, last = runs()
     twice = none
@@ -189,9 +198,8 @@ def _slice(rids: list[int], texts: list[bytes], seen: dict, buckets: int, turn:
                 seen[name] = None
     used = [r if s else b"" for r, s in zip(texts, sent, strict=True)]
     rows = []
-    # a document longer than a slice's place numbers allow is cut into overlapping parts
-    limit = 1 << 23
-    for group in _groups(used, limit):
+    # a document longer than a slice is cut into overlapping parts: its arrays take some 70 bytes a byte
+    for group in _groups(used, SLICE):
         data = np.frombuffer(b"".join(part for _, _, part in group), np.uint8)
         bounds = np.cumsum([0, *[len(part) for _, _, part in group]])
         (doc, a, first, last, seed, content), (tdoc, tat) = anchors(data, bounds, np.ones(len(group), bool))
@@ -265,42 +273,46 @@ def _unique(x: np.ndarray):
     return u, inv, first, n
 
 
-_RECORD = "rid long, anchor int, first int, last int, suffix binary, left binary"
+_RECORD = pa.schema([("rid", pa.int64()), ("anchor", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("suffix", pa.binary()), ("left", pa.binary()), ("range", pa.int32())])
+_RECORD_ROW = "rid long, anchor int, first int, last int, suffix binary, left binary, range int"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs to compare: from the anchor on, and those before it backwards."""
-    for batch in batches:
-        out, size = [], 0
-        for rid, text, need in zip(*batch.columns, strict=True):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            for x in need.as_py():
-                a, first, last = x["anchor"], x["begin"], x["end"]
-                out.append((rid.as_py(), a, first, last, raw[a : last + LENGTH], raw[first:a][::-1]))
-                size += LENGTH
-            if size > 4_000_000:
-                yield _record_batch(out)
-                out, size = [], 0
-        if out:
-            yield _record_batch(out)
+def _records(splitters: list[bytes]):
+    """The bytes of the runs to compare: from the anchor on, and those before it backwards; and the number of the suffix's range.
 
-
-def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["rid", "anchor", "first", "last", "suffix", "left"])
-
-
-def _deal(splitters: list[bytes]):
-    """Add the number of the suffix's range."""
+    A row's repeats within the task add nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            at = [bisect_right(splitters, s.as_py().ljust(LENGTH, b"\0")) for s in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "range"])
+            out = []
+            ends, needs = batch.column(2).offsets.to_pylist(), batch.column(2).values
+            begin, end, anchor = (needs.field(c).to_numpy() for c in ("begin", "end", "anchor"))
+            for i, (rid, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                if rid in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(rid)
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                own = slice(ends[i], ends[i + 1])
+                for first, last, a in zip(begin[own].tolist(), end[own].tolist(), anchor[own].tolist(), strict=True):
+                    suffix = raw[a : last + LENGTH]
+                    out.append((rid, a, first, last, suffix, raw[first:a][::-1], bisect_right(splitters, suffix.ljust(LENGTH, b"\0"))))
+                    if len(out) == RECORDS:
+                        yield _record_batch(out)
+                        out = []
+            if out:
+                yield _record_batch(out)
 
     return run
 
 
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
+
+
 def multikey_sort(words: np.ndarray) -> np.ndarray:
     """Order of the rows of ``words`` (big-endian words of strings): three-way partition by one word, then by the next."""
     out, todo = [], [(np.arange(len(words)), 0)]
@@ -347,16 +359,17 @@ def _resolve(splitters: list[bytes]):
         for s in splitters[max(0, at - 1) : at + 1]:
             edge = np.maximum(edge, _common(suffix, np.broadcast_to(np.frombuffer(s, np.uint8), suffix.shape)))
         before = np.zeros(len(rid), np.uint64)
-        covers, edges = [], []
-        right = np.zeros((len(rid), 1), np.uint64)
+        covers, edges, held = [], [], 0
         # hashes of the right parts, for windows that may go on across a boundary
         rights: dict[int, np.ndarray] = {}
-        if (edge >= SEED).any():
-            right = np.zeros(len(rid), np.uint64)
+        rim = np.flatnonzero(edge >= SEED)
+        if len(rim):
+            right = np.zeros(len(rim), np.uint64)
             for t in range(LENGTH):
-                right = mix64(right + _TABLE[suffix[:, t]])
+                right = mix64(right + _TABLE[suffix[rim, t]])
                 if t + 1 >= SEED:
                     rights[t + 1] = right
+        del suffix
         for d in range(SPAN):
             if d:
                 before = mix64(before + _TABLE[left[:, d - 1]])
@@ -368,10 +381,13 @@ def _resolve(splitters: list[bytes]):
             key = mix64(before[on] ^ mix64(group.astype(np.uint64)))
             _, which, _, times = _unique(key)
             hit = on[times[which] > 1]
-            covers.append((rid[hit], anchor[hit] - d))
+            covers.append((rid[hit], anchor[hit] - d, anchor[hit] - d + LENGTH))
+            held += len(hit)
+            if held > WINDOWS:
+                covers, held = [_joined(covers)], 0
             cut = on[edge[on] >= reach]
             if len(cut):
-                edges.append((rid[cut], anchor[cut] - d, mix64(before[cut] ^ mix64(rights[reach][cut] + np.uint64(d)))))
+                edges.append((rid[cut], anchor[cut] - d, mix64(before[cut] ^ mix64(rights[reach][np.searchsorted(rim, cut)] + np.uint64(d)))))
         r, b, e = _joined(covers)
         kind, key = ["cover"] * len(r), np.zeros(len(r), np.int64)
         if edges:
@@ -383,15 +399,17 @@ def _resolve(splitters: list[bytes]):
     return run
 
 
-def _joined(covers: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows as intervals, those that overlap in a document as one."""
-    if not covers:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    r, b = np.concatenate([c[0] for c in covers]), np.concatenate([c[1] for c in covers]).astype(np.int64)
+def _joined(covers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of intervals by document: maximal runs."""
+    r, b, e = (np.concatenate([np.empty(0, np.int64), *[c[i] for c in covers]]) for i in range(3))
+    if not len(r):
+        return r, b, e
     order = np.lexsort((b, r))
-    r, b = r[order], b[order]
-    new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (b[1:] > b[:-1] + LENGTH))) if len(r) else np.empty(0, np.int64)
-    return r[new], b[new], (b[np.append(new[1:], len(b)) - 1] + LENGTH if len(r) else b)
+    r, b, e = r[order], b[order], e[order]
+    high = np.cumsum(np.append(False, r[1:] != r[:-1])) << 32  # a document's places come after all of the one before
+    reach = np.maximum.accumulate(high + e)
+    new = np.flatnonzero(np.append(True, (high + b)[1:] > reach[:-1]))
+    return r[new], b[new], reach[np.append(new[1:], len(r)) - 1] & 0xFFFFFFFF
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +430,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _release(spark: SparkSession) -> None:
+    """``release`` that reaches the step just ended: the listener bus holds its plan until another event comes."""
+    spark.sql("SELECT 1").collect()
+    release(spark)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, spans (removed, maximal, ascending), kept (the other bytes).
 
@@ -428,30 +452,31 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(16, -(-total // BUCKET_BYTES))
     sent = docs.where(F.octet_length("text") >= LENGTH).select("rid", "text").mapInArrow(_send(buckets), _ROW)
     path = shared_path(spark, "repeats")
-    sent.groupBy("bucket").applyInArrow(_match, _FOUND).write.partitionBy("kind").parquet(f"{path}/found")
-    release(spark)
+    sent.groupBy("bucket").applyInArrow(_match, _FOUND).write.parquet(f"{path}/found")
+    _release(spark)
     found = spark.read.schema(_FOUND).parquet(f"{path}/found")
     covers = found.where("kind = 'cover'").select("rid", "begin", "end")
-    need = found.where("kind = 'need'").groupBy("rid").agg(F.collect_list(F.struct("begin", "end", "anchor")).alias("need"))
-    records = materialize(docs.join(need, "rid").dropDuplicates(["rid"]).select("rid", "text", "need").mapInArrow(_records, _RECORD), "suffixes")
-    release(spark)
-    size, number = records.agg(F.sum(F.octet_length("suffix") + F.octet_length("left")), F.count(F.lit(1))).first()
+    needs = found.where("kind = 'need'")
+    size, number = needs.agg(F.sum(F.col("end") - F.col("begin") + LENGTH), F.count(F.lit(1))).first()
     ranges = -(-(size or 0) // RANGE_BYTES)
     # sampled splitters: about 16 suffixes a range
     every = max(1, number // (16 * max(1, ranges)))
-    picked = records.where(F.pmod(F.xxhash64("rid", "anchor"), F.lit(every)) == 0).select(F.rpad(F.hex("suffix"), 2 * LENGTH, "0").alias("s"))
-    sample = picked.collect() if ranges > 1 else []
+    picked = F.broadcast(needs.where(F.pmod(F.xxhash64("rid", "anchor"), F.lit(every)) == 0))
+    suffix = F.substr(F.col("text").cast("binary"), F.col("anchor") + 1, F.col("end") + LENGTH - F.col("anchor"))
+    sample = docs.join(picked, "rid").select("rid", "anchor", F.rpad(F.hex(suffix), 2 * LENGTH, "0").alias("s")).distinct().collect() if ranges > 1 else []
     sample = sorted(bytes.fromhex(r["s"]) for r in sample)
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    dealt = records.mapInArrow(_deal(splitters), _RECORD + ", range int")
-    dealt.groupBy("range").applyInArrow(_resolve(splitters), _RESOLVED).write.partitionBy("kind").parquet(f"{path}/resolved")
-    release(spark)
+    need = needs.groupBy("rid").agg(F.collect_list(F.struct("begin", "end", "anchor")).alias("need"))
+    # here and at the end the few numbers of a document are hashed, so that no task sorts texts
+    records = docs.join(need.hint("shuffle_hash"), "rid").select("rid", "text", "need").mapInArrow(_records(splitters), _RECORD_ROW)
+    records.groupBy("range").applyInArrow(_resolve(splitters), _RESOLVED).write.parquet(f"{path}/resolved")
+    _release(spark)
     resolved = spark.read.schema(_RESOLVED).parquet(f"{path}/resolved")
     edges = resolved.where("kind = 'edge'")
     both = edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     covers = covers.union(resolved.where("kind = 'cover'").select("rid", "begin", "end")).union(edges.join(both, "key").select("rid", "begin", "end"))
     gathered = covers.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("covers"))
-    out = docs.join(gathered, "rid", "left").select("doc_id", "text", "covers")
+    out = docs.join(gathered.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "covers")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
 
 

@@ -1,10 +1,13 @@
 """Repeated strings against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from palimpsest.llm import repeats
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, rid string, bucket string"
 
@@ -72,6 +75,96 @@ def test_long_texts_are_cut_with_overlap():
     assert covered == set(range(len(text) - repeats.LENGTH + 1))
 
 
+def letters(n, seed):
+    return np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8).tobytes()
+
+
+@pytest.mark.parametrize("text", [letters(9_000_000, 1), b"abcdefg hijkl " * 600_000])
+def test_memory_of_a_long_text(text):
+    repeats._power_tables(repeats.SLICE)
+    tracemalloc.start()
+    try:
+        repeats._slice([1], [text], {}, 16, 0)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 400e6
+
+
+def test_texts_longer_than_a_slice(spark):
+    passage = letters(300, 2)
+    text = bytearray(letters(2 * repeats.SLICE + 5000, 3))
+    places = [1000, repeats.SLICE - repeats.LENGTH - 150, 2 * repeats.SLICE - 3000]
+    for i, at in enumerate(places):
+        text[at - 1 : at + 301] = b"%d%b%d" % (i, passage, i)
+    rows = [(1, text.decode(), None, None), (2, f"A{passage.decode()}A", None, None)]
+    got = {r.doc_id: [(s.begin, s.end) for s in r.spans] for r in repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: [(p, p + 300) for p in places], 2: [(1, 301)]}
+
+
+def test_records_go_out_in_parts(monkeypatch):
+    monkeypatch.setattr(repeats, "RECORDS", 2)
+    raw, other = letters(400, 4), letters(300, 5)
+    need = [[{"begin": i, "end": i + 3, "anchor": i + 20} for i in range(5)], [], [{"begin": 7, "end": 9, "anchor": 9}]]
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("anchor", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([raw.decode(), "x", other.decode()]), pa.array(need, kind)], names=["rid", "text", "need"])
+    splitters = sorted([raw[21:221], other[9:209]])
+    out = list(repeats._records(splitters)(iter([batch, batch])))
+    assert [b.num_rows for b in out] == [2, 2, 2]
+    want = [(1, i + 20, i, i + 3, raw[i + 20 : i + 203], raw[i : i + 20][::-1]) for i in range(5)] + [(3, 9, 7, 9, other[9:209], other[7:9][::-1])]
+    want = [(*w, sum(s <= w[4].ljust(repeats.LENGTH, b"\0") for s in splitters)) for w in want]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_windows_joined_as_they_come(monkeypatch):
+    rng = random.Random(6)
+    passage = letters(260, 7)
+    rows = []
+    for rid in range(300):
+        text, a = letters(60, rid + 10) + passage[: rng.randint(200, 260)] + letters(200, rid + 500), rng.randint(60, 130)
+        rows.append((rid, a, 40, 80 if a >= 80 else 50, text[a:][: repeats.LENGTH], text[40:a][::-1], 0))
+    table = pa.Table.from_batches([repeats._record_batch(rows)])
+    want = repeats._resolve([])(table).to_pylist()
+    monkeypatch.setattr(repeats, "WINDOWS", 50)
+    assert want and repeats._resolve([])(table).to_pylist() == want
+
+
+def test_joined():
+    rng = random.Random(8)
+    rows = [(rng.choice([-5, 0, 1 << 60]), b, b + rng.randint(1, 40)) for b in [rng.randint(0, 900) for _ in range(60)]]
+    want = []
+    for r in sorted({r for r, _, _ in rows}):
+        gone = np.zeros(1001, int)
+        for _, b, e in (x for x in rows if x[0] == r):
+            gone[b:e] = 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
+        want += [(r, int(b), int(e)) for b, e in zip(edges[::2], edges[1::2])]
+    parts = [tuple(np.array(c) for c in zip(*rows[i : i + 20])) for i in range(0, 60, 20)]
+    assert list(zip(*(x.tolist() for x in repeats._joined(parts)))) == want
+
+
+def test_no_task_sorts_texts(spark):
+    out = repeats.remove_repeats(spark.createDataFrame([(1, "x" * 300, None, None)], SCHEMA))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_files_of_the_step_just_ended_go(spark):
+    import os
+    import time
+
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    before = files()
+    spark.range(1000).repartition(3, "id").groupBy(F.spark_partition_id()).count().write.format("noop").mode("overwrite").save()
+    assert files() - before
+    repeats._release(spark)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 3, (3000, 5), dtype=np.uint64)
