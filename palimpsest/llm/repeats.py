@@ -430,6 +430,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _gathered(covers: DataFrame) -> DataFrame:
+    """Covers by number, equal ones once: rows repeated with the same id and text share a number, and each would get all rows' covers."""
+    return covers.groupBy("rid").agg(F.collect_set(F.struct("begin", "end")).alias("covers"))
+
+
 def _release(spark: SparkSession) -> None:
     """``release`` that reaches the step just ended: the listener bus holds its plan until another event comes."""
     spark.sql("SELECT 1").collect()
@@ -475,8 +480,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     edges = resolved.where("kind = 'edge'")
     both = edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     covers = covers.union(resolved.where("kind = 'cover'").select("rid", "begin", "end")).union(edges.join(both, "key").select("rid", "begin", "end"))
-    gathered = covers.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("covers"))
-    out = docs.join(gathered.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "covers")
+    out = docs.join(_gathered(covers).hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "covers")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
 
 

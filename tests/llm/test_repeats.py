@@ -149,6 +149,14 @@ def test_no_task_sorts_texts(spark):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_repeated_rows_do_not_square(spark):
+    covers = spark.createDataFrame([(1, 0, 300)] * 50 + [(1, 5, 400), (2, 0, 200)], "rid long, begin int, end int")
+    assert {r.rid: sorted((c.begin, c.end) for c in r.covers) for r in repeats._gathered(covers).collect()} == {1: [(0, 300), (5, 400)], 2: [(0, 200)]}
+    rows = [(7, "word " * 60, None, None)] * 500 + [(8, "word " * 60, None, None), (9, "other", None, None)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_bytes, [(s.begin, s.end) for s in r.spans]) for r in got) == [(7, 300, [(0, 300)])] * 500 + [(8, 300, [(0, 300)]), (9, 5, [])]
+
+
 def test_files_of_the_step_just_ended_go(spark):
     import os
     import time
