@@ -36,6 +36,8 @@ SMALL = 24
 HASHES, SKETCH_BITS = 128, 30
 #: Sets of a block in a family's comparison; a task holds two blocks.
 BLOCK_BYTES = 4_000_000
+#: Edges that one task unites at most: it holds their nodes, about 60 MB.
+ONE_TASK_EDGES = 250_000
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,19 +174,19 @@ def candidates(reps: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     return pairs.union(met).groupBy("a", "b").agg(F.min("differ").alias("differ")), large.select("doc", "node")
 
 
-def families(large: DataFrame, found: DataFrame) -> DataFrame:
-    """``large(doc, node)`` to (doc, component, family, minor) of the families with several components of ``found``.
+def families(large: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """``large(doc, node)``, ``number`` rows, to (doc, component, family, minor) of the families with several components of ``found``.
 
     Nodes that share documents are one family; ``minor`` are the documents outside the family's largest component.
     """
     rows = large.join(found.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     hubs = rows.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("least < most")
-    rows = materialize(join_groups(rows, hubs.select("node", "hub", "n"), "node").select("doc", "component", "hub"), "open-nodes")
-    joined = connected_components(rows.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    rows = materialize(join_groups(rows, hubs.select("node", "hub", "n"), "node", number).select("doc", "component", "hub"), "open-nodes")
+    joined = connected_components(rows.select(F.col("hub").alias("a"), F.col("doc").alias("b")), ONE_TASK_EDGES)
     members = materialize(rows.select("doc", "component").distinct().join(joined.toDF("doc", "family"), "doc"), "families")
     sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
     sizes = sizes.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.sum("m").alias("n"))
-    return join_groups(members, sizes, "family").select("doc", "component", "family", (F.col("component") != F.col("major")).alias("minor"))
+    return join_groups(members, sizes, "family", members.count()).select("doc", "component", "family", (F.col("component") != F.col("major")).alias("minor"))
 
 
 def _compare(percent: int):
@@ -223,7 +225,7 @@ def family_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
     rows = materialize(members.join(sets, "doc").withColumn("bytes", F.octet_length("grams").cast("long")), "family-sets")
     blocks = lambda b: F.greatest(F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
     parts = rows.groupBy("family").agg(blocks(F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0))).alias("ps"), blocks(F.sum("bytes")).alias("qs"), F.count(F.lit(1)).alias("n"))
-    rows = join_groups(rows, parts, "family")
+    rows = join_groups(rows, parts, "family", rows.count())
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     told = ["doc", "component", "grams"]
@@ -251,7 +253,7 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     base = found.union(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
     a, b = base.toDF("a", "ca"), base.toDF("b", "cb")
-    merged = connected_components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = connected_components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), ONE_TASK_EDGES)
     return base.join(merged.toDF("component", "merged"), "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
 
 
@@ -268,24 +270,27 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     sig = materialize(texts.mapInArrow(_signatures(width), "doc long, n long, digest binary, sig binary, b1 long, b2 long"), "signatures")
     linked = sig.where("digest is not null and doc is not null")
-    reps = materialize(linked.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "sets-once")
-    named = linked.select("digest", "doc").distinct()
-    firsts = linked.join(reps.select("digest", F.col("rep").alias("doc")), ["digest", "doc"], "left_semi").dropDuplicates(["digest"]).select("doc", "sig", "b1", "b2")
-    pairs, large = candidates(firsts, sig.count())
+    first = F.min_by(F.struct("sig", "b1", "b2"), "doc").alias("first")
+    reps = materialize(linked.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"), first), "sets-once")
+    number = sig.count()
+    pairs, large = candidates(reps.select(F.col("rep").alias("doc"), "first.*"), number)
+    reps = reps.drop("first")
     pairs = materialize(pairs, "pairs")
     release(spark)
     texts = texts.where("doc is not null")
     sets = _candidate_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), texts, width)
     # an id with several texts is one document
-    own = join_groups(named, reps, "digest").groupBy("doc").agg(F.sort_array(F.collect_set("rep")).alias("own")).where(F.size("own") > 1)
+    again = linked.groupBy("doc").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = linked.select("doc", "digest").join(again, "doc", "left_semi").distinct()
+    own = join_groups(again, reps, "digest", number).groupBy("doc").agg(F.sort_array(F.collect_set("rep")).alias("own")).where(F.size("own") > 1)
     own = own.select(F.get("own", F.lit(0)).alias("a"), F.explode(F.slice("own", 2, F.size("own"))).alias("b"))
-    found = connected_components(_links(pairs.select("a", "b"), sets, percent).union(own))
-    if not large.isEmpty():
+    found = connected_components(_links(pairs.select("a", "b"), sets, percent).union(own), ONE_TASK_EDGES)
+    if open_rows := large.count():
         release(spark)
-        found = _joined(found, materialize(family_links(families(large, found), texts, width, percent), "family-links"))
+        found = _joined(found, materialize(family_links(families(large, found, open_rows), texts, width, percent), "family-links"))
     # equal sets are in the component of the first of them
     placed = reps.join(found.toDF("rep", "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    placed = join_groups(named, placed, "digest").groupBy("doc").agg(F.min("component").alias("component"))
+    placed = join_groups(linked.select("digest", "doc"), placed, "digest", number).groupBy("doc").agg(F.min("component").alias("component"))
     out = sig.select("doc", "n").join(placed, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc").isNull() | (F.col("doc") == component)).alias("kept"))

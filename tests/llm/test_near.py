@@ -78,6 +78,36 @@ def test_components(spark):
     assert got == {n: want[n] for n in nodes}
 
 
+def test_components_of_one_task(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(401 + i, 400 + i) for i in range(60)] + [(7, 7), (None, 3)]
+    want = union({x for e in edges for x in e if x is not None}, [e for e in edges if None not in e])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for one_task in (1000, 100, 1):  # all edges, what is left after some steps, and none
+        got = {r.node: r.component for r in connected_components(df, one_task).collect()}
+        assert got == {n: want[n] for e in edges if None not in e and e[0] != e[1] for n in e}
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_jobs_of_a_small_table(spark):
+    # components of few edges cost no round of jobs for each step
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(words, 45)), None, None) for i in range(300)]
+    chain = [f"c{i}" for i in range(140)]
+    rows += [(1000 + i, " ".join(chain[i : i + 60]), None, None) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert jobs_of(spark, lambda: nd.components(df, width=1).collect()) <= 110
+
+
 def template_rows(twins):
     # 85 words of a template and 15 own: partners share four of those (89 of 111), all others are at 85 of 115
     template = [f"t{i}" for i in range(85)]
