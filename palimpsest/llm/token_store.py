@@ -35,26 +35,50 @@ _SEEN_BOUND = 1_000_000
 DATA_SCHEMA = "kind string, pkey binary, digest binary, n int, payload binary, doc_id long, n_tokens long, chunks binary, lens binary, root binary"
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream; depend on the ids of the last WINDOW places only."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return np.array([n]) if n else np.empty(0, int)
-    h = mix64(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_MIXED: np.ndarray | None = None
+
+
+def _spots(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the last WINDOW ids say that a chunk may end."""
+    global _MIXED
+    if ids.dtype.itemsize > 2:
+        h = mix64(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    else:
+        if _MIXED is None:
+            _MIXED = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        h = _MIXED[ids]
     width = 1
     while width < WINDOW:  # doubling: a hash of 2w ids from two of w
-        h[width:] = h[width:] + np.uint64(0xD6E8FEB86659FD93) * h[:-width]
+        h[width:] += np.uint64(0xD6E8FEB86659FD93) * h[:-width]
         width *= 2
-    spots = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    return np.flatnonzero(h & np.uint64(MASK << 40) == 0) + 1
+
+
+def _ends(spots: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids.  Spots before MIN_CHUNK are never taken, so the first may be wrong."""
     ends, last = [], 0
-    for s in [*spots.tolist(), n]:
+    for s in [*spots, n]:
         while s - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
         if s - last >= MIN_CHUNK or s == n and s > last:
             ends.append(s)
             last = s
-    return np.array(ends)
+    return ends
+
+
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of one id stream; depend on the ids of the last WINDOW places only."""
+    return np.array(_ends(_spots(ids).tolist(), len(ids)), int)
+
+
+def _cuts(raws: list[bytes], dtype: np.dtype) -> list[list[int]]:
+    """``cut_points`` of each stream, hashed end to end: only spots in a stream's first WINDOW places differ, and none of those is taken."""
+    bounds = np.cumsum([0, *map(len, raws)]) // dtype.itemsize
+    spots = _spots(np.frombuffer(b"".join(raws), dtype))
+    at = np.searchsorted(spots, bounds, "right").tolist()
+    bounds = bounds.tolist()
+    return [_ends((spots[i:j] - begin).tolist(), end - begin) for i, j, begin, end in zip(at, at[1:], bounds, bounds[1:], strict=False)]
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -77,11 +101,10 @@ def _chunk_rows(tokenizer: str, end_id: int):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 2_000_000):
                 rows = []
-                for doc_id, raw in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    raw += end
-                    ends = cut_points(np.frombuffer(raw, enc.dtype))
-                    digests, last = [], 0
-                    for e in ends.tolist():
+                raws = [raw + end for raw in enc.encode(texts[a:b])]
+                for doc_id, raw, ends in zip(doc_ids[a:b], raws, _cuts(raws, enc.dtype), strict=True):
+                    digests, lens, last = [], [], 0
+                    for e in ends:
                         piece = raw[last * step : e * step]
                         d = hashlib.blake2b(piece, digest_size=DIGEST).digest()
                         if d not in seen:
@@ -90,10 +113,11 @@ def _chunk_rows(tokenizer: str, end_id: int):
                             seen.add(d)
                             rows.append(("chunk", d, d, e - last, piece, None, None, None, None, None))
                         digests.append(d)
+                        lens.append(e - last)
                         last = e
                     root = merkle_root(digests)
                     key = hashlib.blake2b(root + str(doc_id).encode(), digest_size=DIGEST).digest()
-                    rows.append(("recipe", key, None, None, None, doc_id, len(raw) // step, b"".join(digests), np.diff(ends, prepend=0).astype("<u4").tobytes(), root))
+                    rows.append(("recipe", key, None, None, None, doc_id, len(raw) // step, b"".join(digests), np.array(lens, "<u4").tobytes(), root))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -155,19 +179,22 @@ def store_root(spark: SparkSession, path: str) -> str:
 def _recipe_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per place of a recipe: start, position, digest, n, bytes that follow it (as 4-byte ids); checks the root."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for start, chunks, lens, root in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        starts, recipes, lens, roots = (c.to_pylist() for c in batch.columns)
+        links: list[bytes] = []
+        for start, chunks, own, root in zip(starts, recipes, lens, roots, strict=True):
             digests = [chunks[i : i + DIGEST] for i in range(0, len(chunks), DIGEST)]
             if merkle_root(digests) != root:
                 raise ValueError(f"recipe at {start}: Merkle root differs")
-            n = np.frombuffer(lens, "<u4").astype(np.int64)
-            after = (n.sum() - np.cumsum(n)) * 4
-            out[0] += [start] * len(n)
-            out[1] += range(len(n))
-            out[2] += digests
-            out[3] += n.tolist()
-            out[4] += after.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["start", "pos", "digest", "n", "after"])
+            if len(own) != 4 * len(digests):
+                raise ValueError(f"recipe at {start}: as many lengths as chunks are needed")
+            links += digests
+        counts = np.array([len(own) // 4 for own in lens], int)
+        upto = np.cumsum(counts)
+        n = np.frombuffer(b"".join(lens), "<u4").astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(n)])
+        after = (np.repeat(before[upto], counts) - before[1:]) * 4
+        pos = np.arange(len(n)) - np.repeat(upto - counts, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((np.repeat(np.array(starts, np.int64), counts), pa.int64()), (pos, pa.int32()), (links, pa.binary()), (n, pa.int64()), (after, pa.int64()))], names=["start", "pos", "digest", "n", "after"])
 
 
 def _links(spark: SparkSession, path: str) -> DataFrame:

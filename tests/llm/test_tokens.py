@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from palimpsest.llm import packing, token_store
 from palimpsest.llm.common import shared_path
@@ -56,6 +57,21 @@ def test_store_round_trip(spark):
     assert chunks.agg({"n": "sum"}).first()[0] < 1.2 * len(expected_ids(BYTE, LONG)) + 200
 
 
+def test_streams_of_a_slice_are_cut_together(monkeypatch):
+    # the ends are those of each stream alone, and hashing costs a few calls a slice, not a few for each document
+    rng = np.random.default_rng(3)
+    for dtype in (np.dtype("<u2"), np.dtype("<u4")):
+        streams = [rng.integers(0, most, n).astype(dtype) for most in (2, 50000) for n in (1, 15, 63, 64, 65, 66, 130, 600, 4097, 20000)]
+        assert token_store._cuts([s.tobytes() for s in streams], dtype) == [token_store.cut_points(s).tolist() for s in streams]
+    calls = []
+    monkeypatch.setattr(token_store, "mix64", lambda x, f=token_store.mix64: calls.append(len(x)) or f(x))
+    texts = [f"a text of its own, number {i}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([" ".join([t] * 30) for t in texts])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(token_store._chunk_rows(BYTE, 0)(iter([batch])))
+    assert rows.column("kind").to_pylist().count("recipe") == 300
+    assert len(calls) <= 2
+
+
 def test_store_empty(spark):
     path = shared_path(spark, "test-store")
     token_store.write_store(spark.createDataFrame([], SCHEMA), path, BYTE)
